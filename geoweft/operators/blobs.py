@@ -33,7 +33,7 @@ def chunks(blobs: DataFrame, offset: int = 0, chunk_size: int = DEFAULT_CHUNK) -
     if chunk_size <= 0 or offset < 0:
         return blobs.select("hash", F.lit(0).cast("long").alias("offset"), F.col("size_bytes").alias("total_size"), "data").where(F.lit(False))
     end = F.least(F.col("size_bytes"), F.octet_length("data").cast("long"))
-    rows = blobs.where(end > offset)
+    rows = blobs.where(F.col("data").isNotNull() & (end > offset))
     starts = F.sequence(F.lit(offset).cast("long"), end - 1, F.lit(chunk_size).cast("long"))
     rows = rows.select("hash", "size_bytes", "data", F.explode(starts).alias("offset"))
     piece = F.substring(F.col("data"), (F.col("offset") + 1).cast("int"), F.lit(chunk_size))
