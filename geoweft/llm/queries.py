@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoweft.llm import bpe, media, packing, quality, sharding, token_counts
+from geoweft.llm import bpe, media, minhash, packing, quality, sharding, suffix_tree, token_counts
 from geoweft.llm.textkit import documents
 
 Q: dict = {}
@@ -33,6 +33,10 @@ def op2(spark, sf_dir):
     return token_counts.corpus_totals(documents(spark, sf_dir))
 
 
+def op3(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
+
+
 def op4(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir))
 
@@ -49,7 +53,11 @@ def op8(spark, sf_dir):
     return bpe.encode_digests(documents(spark, sf_dir), word_tokenizer())
 
 
-Q |= {"op1_hilbert_sharding": op1, "op2_token_counts": op2, "op4_quality_rules": op4, "op5_packing": op5, "op7_media_columns": op7, "op8_bpe_codec": op8}
+def op9(spark, sf_dir):
+    return suffix_tree.score(documents(spark, sf_dir))
+
+
+Q |= {"op1_hilbert_sharding": op1, "op2_token_counts": op2, "op3_minmax_near_dedup": op3, "op4_quality_rules": op4, "op5_packing": op5, "op7_media_columns": op7, "op8_bpe_codec": op8, "op9_suffix_tree_lm": op9}
 SQL["op4_quality_rules"] = quality.oracle_sql()
 SQL["op2_token_counts"] = r"""
 WITH d AS (SELECT source, lang, text, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST, source NULLS FIRST, lang NULLS FIRST) AS k FROM documents),
