@@ -10,8 +10,10 @@ Steps, none of which gathers a group of copies or emits its pairs:
 2. In each band bucket every class is compared with two leaders, so a bucket of k near copies
    gives at most 2k candidates. A 128-bit sketch of the signature drops hopeless ones.
 3. Confirmed links are contracted to components by alternating large-star and small-star.
+   Buckets that still span several components meet further leaders of their main component.
 4. Exact remainder: wherever a bucket still spans several components, the classes outside the
-   bucket's main component are compared with all members of other components. So no link
+   bucket's main component are compared with all members of other components; a large bucket is
+   dealt into blocks that meet two at a time and return only what joins components. So no link
    between classes that share a band is lost; pairs inside a component need no comparison.
 
 Nulls and texts without words have no shingles and link to nothing; a text with fewer words
@@ -24,6 +26,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +40,10 @@ PERMUTATIONS = 64
 MISS = 1e-6
 #: Sketch bits (of 128) that may differ: 5 standard deviations above the mean at the threshold.
 SKETCH_SIGMAS = 5.0
+#: Rounds of comparing open buckets with leaders before the exact remainder.
+LEADER_ROUNDS = 3
+#: Open buckets up to this size are compared pair by pair, larger ones in blocks of BLOCK documents.
+SMALL_BUCKET, BLOCK = 48, 128
 
 
 @cache
@@ -174,6 +181,67 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _links_of_block(pdf: pd.DataFrame, k: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between documents of different roots among some hundred texts.
+
+    Intersections come from products of 0/1 matrices over slices of the shared shingles.
+    """
+    pdf = pdf.drop_duplicates("id")
+    data, offs = utf8(pa.array(pdf["text"], pa.string()))
+    flat, counts = shingle_sets(data, offs, k)
+    owner = np.repeat(np.arange(len(pdf)), counts)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    column = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+    often = np.bincount(column) > 1 if len(column) else np.zeros(0, bool)
+    keep = often[column] if len(column) else np.zeros(0, bool)
+    owner, column = owner[keep], np.unique(column[keep], return_inverse=True)[1]
+    n, step = len(pdf), 16_384
+    same = np.zeros((n, n), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, int(column.max(initial=-1)) + step + 1, step))
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        m = np.zeros((n, step), np.float32)
+        m[owner[lo:hi], column[lo:hi] - i * step] = 1
+        same += m @ m.T
+    union = counts[:, None] + counts[None, :] - same
+    ids, roots = pdf["id"].to_numpy(), pdf["root"].to_numpy()
+    hit = (100 * same >= percent * union) & (same > 0) & (roots[:, None] != roots[None, :])
+    up = {r: r for r in set(roots.tolist())}
+
+    def top(r):
+        while up[r] != r:
+            r = up[r]
+        return r
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
+        a, b = top(roots[i]), top(roots[j])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def compare_blocks(docs: DataFrame, grouped: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between different roots inside each group (id, root, group), all pairs tested.
+
+    A group is dealt into blocks of about BLOCK documents; a task meets two blocks at a time and
+    returns only links that join components.
+    """
+    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    own = grouped.join(sizes, "group").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    ids = cut(own.select("id").distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = texts.join(broadcast_if_small(ids, 16), "id", "left_semi").dropDuplicates(["id"])
+    rows = own.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("id", "root", "text", "group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_links_of_block(pdf, k, percent), columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("group", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every node of the links (a, b): root is the smallest id that it reaches.
 
@@ -227,19 +295,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = cut(confirm(docs, tried, k, percent, id_col, text_col))
     roots = components(links)
 
-    # exact remainder: buckets that span several components
-    labelled = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = cut(labelled.join(main.select("key", "main"), "key"))
-    minor = open_.where("root <> main")
+    def open_buckets(roots: DataFrame) -> DataFrame:
+        """Members of the buckets that span several components, with their bucket's main one."""
+        labelled = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
+        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        return cut(labelled.join(main.select("key", "main"), "key"))
+
+    def join_up(roots: DataFrame, more: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    # more leaders, all from the main component, contract a large group at linear cost
+    open_ = open_buckets(roots)
+    for r in range(LEADER_ROUNDS):
+        best = [F.min_by(item, F.xxhash64(F.lit(2 * r + i + 1), "id")).alias(f"l{i}") for i in range(2)]
+        leaders = open_.where("root = main").groupBy("key").agg(*best)
+        leaders = leaders.select("key", F.explode(F.array("l0", "l1")).alias("l")).select("key", "l.*").distinct()
+        fresh = cut(candidates(open_.where("root <> main"), leaders).distinct().join(tried, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        tried = tried.unionByName(fresh)
+        links = cut(confirm(docs, fresh, k, percent, id_col, text_col))
+        if links.isEmpty():
+            break
+        roots = join_up(roots, links)
+        open_ = open_buckets(roots)
+
+    # exact remainder: small buckets by pairs, large ones by blocks
+    counts = open_.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lead"))
+    small = open_.join(counts.where(F.col("c") <= SMALL_BUCKET).select("key"), "key", "left_semi")
     other = F.col("x.root") != F.col("y.root")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    rest = cut(candidates(minor, open_, other & once).distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = cut(candidates(small.where("root <> main"), small, other & once).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = None
     if not rest.isEmpty():
         more = confirm(docs, rest, k, percent, id_col, text_col)
-        stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
-        roots = components(stars.unionByName(more))
+    large = cut(open_.join(counts.where(F.col("c") > SMALL_BUCKET).select("key", "lead"), "key").select("id", "root", "lead").distinct())
+    if not large.isEmpty():
+        chained = components(large.select(F.col("id").alias("a"), F.col("lead").alias("b")))
+        grouped = large.select("id", "root").distinct().join(chained.withColumnRenamed("root", "group"), "id", "left")
+        found = compare_blocks(docs, grouped.withColumn("group", F.coalesce("group", "id")), k, percent, id_col, text_col)
+        more = found if more is None else more.unionByName(found)
+    if more is not None:
+        roots = join_up(roots, more)
 
     by_class = classes.select("f1", "f2", "id").join(roots, "id", "left").select("f1", "f2", F.coalesce("root", "id").alias("root"))
     out = signed.select("doc_id", "n", "f1", "f2").join(by_class, ["f1", "f2"], "left")
