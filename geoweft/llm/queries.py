@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoweft.llm import bpe, media, minhash, packing, quality, sharding, suffix_tree, token_counts
+from geoweft.llm import bpe, html_extract, media, minhash, packing, quality, sharding, suffix_tree, token_counts, toxicity
 from geoweft.llm.textkit import documents
 
 Q: dict = {}
@@ -57,7 +57,16 @@ def op9(spark, sf_dir):
     return suffix_tree.score(documents(spark, sf_dir))
 
 
-Q |= {"op1_hilbert_sharding": op1, "op2_token_counts": op2, "op3_minmax_near_dedup": op3, "op4_quality_rules": op4, "op5_packing": op5, "op7_media_columns": op7, "op8_bpe_codec": op8, "op9_suffix_tree_lm": op9}
+def op6(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, documents(spark, sf_dir, "labels")))
+
+
+def op10(spark, sf_dir):
+    return html_extract.main_text(documents(spark, sf_dir, "pages"))
+
+
+Q |= {"op1_hilbert_sharding": op1, "op2_token_counts": op2, "op3_minmax_near_dedup": op3, "op4_quality_rules": op4, "op5_packing": op5, "op6_toxicity": op6, "op7_media_columns": op7, "op8_bpe_codec": op8, "op9_suffix_tree_lm": op9, "op10_html_extraction": op10}
 SQL["op4_quality_rules"] = quality.oracle_sql()
 SQL["op2_token_counts"] = r"""
 WITH d AS (SELECT source, lang, text, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST, source NULLS FIRST, lang NULLS FIRST) AS k FROM documents),
