@@ -94,6 +94,16 @@ class Spans:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
+def hash_spans(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of sorted ranges, none of which spans two texts; scratch memory is that of a block."""
+    out = np.zeros(len(starts), U64)
+    for a, b in blocks(offsets):
+        lo, hi = int(offsets[a]), int(offsets[b])
+        i, j = np.searchsorted(starts, (lo, hi))
+        out[i:j] = Spans(data[lo:hi]).hash(starts[i:j] - lo, ends[i:j] - lo)
+    return out
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and rows of the words [^\\x20\\x09-\\x0D]+ of each text of a block."""
     n = len(data)

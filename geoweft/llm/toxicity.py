@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.textkit import LOWER, U64, Spans, blocks, mix, pick, run_spans, utf8
+from geoweft.llm.textkit import LOWER, U64, blocks, hash_spans, mix, pick, run_spans, utf8
 
 #: Bounded training sample, and its share kept for calibration.
 MAX_POSITIVE, MAX_NEGATIVE, CALIBRATION = 1500, 2500, 0.2
@@ -54,8 +54,9 @@ class Words:
         cut = cut[inside[cut] & inside[cut - 1]]
         starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
         self.rows = np.searchsorted(offsets, starts, "right") - 1
-        h = Spans(low).hash(starts, ends)
+        h = hash_spans(low, offsets, starts, ends)
         forms, first, self.form = np.unique(h, return_index=True, return_inverse=True)
+        self.form = self.form.astype(np.int32)
         self.bucket = (forms & U64(WORD_BUCKETS - 1)).astype(np.int64)
         # trigrams of ^word$: as many as the word has bytes
         s, n = starts[first], (ends - starts)[first]
@@ -96,8 +97,9 @@ class Words:
         left = np.minimum(WINDOW, first[row] + count[row] - begin)
         step = np.arange(WINDOW)
         at = np.minimum(begin[:, None] + step, max(len(self.form) - 1, 0))
-        index = self.form[at] if len(self.form) else np.zeros((0, WINDOW), np.int64)
-        return row, np.where(step < left[:, None], index, -1)
+        index = self.form[at] if len(self.form) else np.zeros((0, WINDOW), np.int32)
+        index[step >= left[:, None]] = -1
+        return row, index
 
 
 def _sigmoid(x):
@@ -203,11 +205,8 @@ class Network:
         parts = [self.forward(x, index[a : a + CHUNK]) for a in range(0, len(index), CHUNK)]
         return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
-    def text_logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def highest(self, words: Words, row: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
         """Highest window logit of each text."""
-        n = len(offsets) - 1
-        words = Words(data, offsets)
-        row, index = words.windows(n)
         out = np.full(n, -np.inf)
         np.maximum.at(out, row, self.logits(words, index))
         out[np.isinf(out)] = self.p["bias"][0]
@@ -217,7 +216,8 @@ class Network:
         if not self.trained:
             return np.full(len(offsets) - 1, self.prior)
         a, b = self.scale
-        return _sigmoid(a * self.text_logits(data, offsets) + b)
+        n, words = len(offsets) - 1, Words(data, offsets)
+        return _sigmoid(a * self.highest(words, *words.windows(n), n) + b)
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, seed: int = SEED) -> Network:
@@ -276,7 +276,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = SEED)
     net.trained = True
 
     # calibration: logistic fit of the highest logit, classes weighted to their true shares
-    top = net.text_logits(data, offs)
+    top = net.highest(words, row, index, len(texts))
     on = held if held.any() else fit
     t, y = top[on], labels[on].astype(float)
     weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
