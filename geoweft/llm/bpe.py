@@ -22,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from geoweft.llm.textkit import pick
+from geoweft.llm.textkit import give_back, pick
 
 #: Words in a cache generation; two generations are held.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 200_000
 #: Texts handled at a time hold about so many characters.
 BATCH_CHARS = 2_000_000
 _NONE = np.iinfo(np.int64).max
@@ -177,6 +177,7 @@ class WordBpe:
 
     def batches(self, texts: list):
         """(first row, word lists, cache) for runs of texts."""
+        give_back()
         lists, size, at = [], 0, 0
         for t in texts:
             lists.append(self.words(t))
