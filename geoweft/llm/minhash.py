@@ -42,6 +42,8 @@ MISS = 1e-6
 SKETCH_SIGMAS = 5.0
 #: Rounds of comparing open buckets with leaders before the exact remainder.
 LEADER_ROUNDS = 3
+#: A further round follows only if one in this many candidates of the last was a link.
+LEADER_YIELD = 20
 #: Open buckets up to this size are compared pair by pair, larger ones in blocks of BLOCK documents.
 SMALL_BUCKET, BLOCK = 48, 128
 
@@ -249,19 +251,20 @@ def components(links: DataFrame) -> DataFrame:
     few joins on combined minima, and its result is written to the shared folder.
     """
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(e)
-    while before[0]:
+
+    def stars(e: DataFrame) -> bool:
+        """No node has two parents, or a parent and a child: one shuffle in place of a last round."""
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("c"))
+        return ends.where("up > 1 or (up = 1 and c > 1)").isEmpty()
+
+    while not stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        after = mark(e)
-        if after == before:
-            break
-        before = after
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
@@ -305,8 +308,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     def join_up(roots: DataFrame, more: DataFrame) -> DataFrame:
         return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    # more leaders, all from the main component, contract a large group at linear cost
+    # more leaders, all from the main component, contract a large group at linear cost; a round
+    # that confirms few of its candidates ends this, and its links go on with the remainder's
     open_ = open_buckets(roots)
+    more = None
     for r in range(LEADER_ROUNDS):
         best = [F.min_by(item, F.xxhash64(F.lit(2 * r + i + 1), "id")).alias(f"l{i}") for i in range(2)]
         leaders = open_.where("root = main").groupBy("key").agg(*best)
@@ -316,7 +321,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             break
         tried = tried.unionByName(fresh)
         links = cut(confirm(docs, fresh, k, percent, id_col, text_col))
-        if links.isEmpty():
+        if links.count() * LEADER_YIELD < fresh.count():
+            more = links
             break
         roots = join_up(roots, links)
         open_ = open_buckets(roots)
@@ -327,9 +333,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     other = F.col("x.root") != F.col("y.root")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
     rest = cut(candidates(small.where("root <> main"), small, other & once).distinct().join(tried, ["a", "b"], "left_anti"))
-    more = None
     if not rest.isEmpty():
-        more = confirm(docs, rest, k, percent, id_col, text_col)
+        found = confirm(docs, rest, k, percent, id_col, text_col)
+        more = found if more is None else more.unionByName(found)
     large = cut(open_.join(counts.where(F.col("c") > SMALL_BUCKET).select("key", "lead"), "key").select("id", "root", "lead").distinct())
     if not large.isEmpty():
         chained = components(large.select(F.col("id").alias("a"), F.col("lead").alias("b")))
