@@ -1,10 +1,13 @@
 """Language-model scores by a probabilistic suffix tree.
 
 Symbols are the bytes of a text's lower-cased words, a space after each, and an end symbol. All contexts of up to ``DEPTH`` symbols are counted over all training texts. A context enters
-the tree if its share of the corpus is at least ``P_MIN`` and if its next-symbol distribution
+the tree if it occurs at least ``MIN_COUNT`` times and if its next-symbol distribution
 gains at least ``GAIN`` nats over that of its longest ancestor in the tree (a likelihood-ratio
-test of their divergence). Distributions are smoothed towards that ancestor. Texts are scored
-by the automaton of the tree, whose state is the longest suffix in it. A token's probability
+test of their divergence), so the tree grows with the corpus. Distributions are smoothed towards
+that ancestor. The levels of the tree are made one after the other, as tables joined by context.
+Texts are scored by the automaton of the tree, whose state is the longest suffix in it, or, where
+the automaton is too large to broadcast, by joining each block's distinct grams with the tree's
+table; both give the same scores. A token's probability
 is what the tree gives its symbols, mixed with a small part of the whole token's share of the
 corpus (1 - ``SPELLED``), which helps words too long for the tree's contexts.
 
@@ -17,6 +20,7 @@ scored one by one: repeated rows and null ids (which are training rows) give a r
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +32,12 @@ from geoweft.llm.textkit import LOWER, U64, Spans, blocks, per_row, pick, utf8,
 from geoweft.plans.lineage import cut
 
 DEPTH = 5
-P_MIN, GAIN = 1e-6, 6.0
+MIN_COUNT, GAIN = 2, 6.0
 HEAD_SHARE = 2e-7
 #: Symbols that a task scores in one run; longer texts are split, with DEPTH symbols of run-up.
 SEGMENT = 512
-#: Largest automaton in bytes; beyond it P_MIN is doubled until the tree fits.
-TABLE_BYTES = 256 << 20
+#: Largest automaton in bytes that is broadcast; beyond it the tree stays a table.
+BROADCAST_BYTES = 128 << 20
 END = 10
 FOLDS, HELD_OUT = 7, 2
 #: Weight of the tree against the whole token's share.
@@ -67,16 +71,30 @@ class Sequences:
             self.symbols[dest + lens] = 32
         self.word_first = dest if len(ws) else np.zeros(0, np.int64)
 
+    def own(self, rows: np.ndarray) -> np.ndarray:
+        """Mask of the rows' own symbols."""
+        edge = np.zeros(len(self.symbols) + 1, np.int8)
+        edge[self.first[rows]] += 1
+        edge[self.end[rows]] -= 1
+        return np.cumsum(edge[:-1]) > 0
+
     def grams(self, rows: np.ndarray) -> np.ndarray:
         """Each own symbol of the rows with the DEPTH symbols before it, packed."""
         s = self.symbols.astype(U64)
         key = s.copy()
         for d in range(1, DEPTH + 1):
             key[d:] |= s[:-d] << U64(8 * d)
-        edge = np.zeros(len(s) + 1, np.int8)
-        edge[self.first[rows]] += 1
-        edge[self.end[rows]] -= 1
-        return key[np.cumsum(edge[:-1]) > 0]
+        return key[self.own(rows)]
+
+    def sums(self, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of each word's symbols, and the value of each end; ``logs`` has a value per symbol and one more."""
+        ends = self.end - 1
+        if not len(self.words):
+            return np.zeros(0), logs[ends].astype(np.float64)
+        # words and ends alternate with each other and with the run-ups, which add nothing
+        starts = np.sort(np.concatenate((self.word_first, ends)))
+        sums = np.add.reduceat(logs.astype(np.float64), starts)
+        return sums[np.searchsorted(starts, self.word_first)], logs[ends].astype(np.float64)
 
 
 def _count(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -147,13 +165,29 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("kind", "key").agg(F.sum("count").alias("count"))
 
 
-def frequent_contexts(counts: DataFrame, symbols: int, p_min: float) -> DataFrame:
-    """(depth, gram, count) of all continuations of contexts with a share of at least p_min."""
-    grams = counts.where(F.col("kind") == GRAM)
-    cuts = F.array(*[F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("gram")) for d in range(DEPTH + 1)])
+def levels(grams: DataFrame, gain: float = GAIN) -> list[DataFrame]:
+    """Per depth (depth, gram, count, total, kinds, kept, p) of all continuations of contexts in ``grams`` (key, count):
+    whether the context is in the tree, and the probability of the continuation by its longest suffix in the tree.
+    Grams with a count of 0 get a probability and change no other."""
+    low = lambda d: F.lit((1 << (8 * d)) - 1)
+    cuts = F.array(*[F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND(low(d + 1)).alias("gram")) for d in range(DEPTH + 1)])
     each = grams.select(F.explode(cuts).alias("g"), "count").select("g.*", "count").groupBy("depth", "gram").agg(F.sum("count").alias("count"))
-    total = F.sum("count").over(Window.partitionBy("depth", F.shiftright("gram", 8)))  # at most 256 rows each
-    return each.withColumn("total", total).where((F.col("total") >= F.lit(p_min * symbols)) | (F.col("depth") == 0)).select("depth", "gram", "count")
+    one = Window.partitionBy("depth", F.shiftright("gram", 8))  # at most 256 rows each
+    each = cut(each.withColumn("total", F.sum("count").over(one)).withColumn("kinds", F.sum((F.col("count") > 0).cast("long")).over(one)))
+    out: list[DataFrame] = []
+    for d in range(DEPTH + 1):
+        level = each.where(F.col("depth") == d)
+        if d:
+            shorter = out[-1].select(F.col("gram").alias("suffix"), F.col("p").alias("back"))
+            level = level.withColumn("suffix", F.col("gram").bitwiseAND(low(d))).join(shorter, "suffix").drop("suffix")
+        else:
+            level = level.withColumn("back", F.lit(1 / 256))
+        level = level.withColumn("own", (F.col("count") + F.col("kinds") * F.col("back")) / F.greatest(F.col("total") + F.col("kinds"), F.lit(1)))
+        won = F.sum(F.when(F.col("count") > 0, F.col("count") * F.log(F.col("own") / F.col("back"))).otherwise(0.0)).over(one)
+        level = level.withColumn("kept", (F.col("total") >= MIN_COUNT) & (won >= F.lit(float(gain))) if d else F.col("total") > 0)
+        level = level.withColumn("p", F.when(F.col("kept"), F.col("own")).otherwise(F.col("back")))
+        out.append(cut(level.select("depth", "gram", "count", "total", "kinds", "kept", "p")))
+    return out
 
 
 class SuffixTree:
@@ -164,8 +198,7 @@ class SuffixTree:
         self.column = np.full(256, len(alphabet), np.int64)
         self.column[alphabet] = np.arange(len(alphabet))
         width = len(alphabet) + 1  # the last column stands for each symbol that was never seen
-        rows, index = [np.full((1, width), 1 / 256)], {}  # row 0: no knowledge
-        back0 = rows[0][0]
+        rows = [np.full((1, width), 1 / 256, np.float32)]  # row 0: no knowledge
         kept_keys: list[np.ndarray] = [np.zeros(0, np.int64)] * (DEPTH + 1)
         kept_rows: list[np.ndarray] = [np.zeros(0, np.int64)] * (DEPTH + 1)
         total_rows = 1
@@ -187,7 +220,7 @@ class SuffixTree:
                     at = np.minimum(np.searchsorted(kept_keys[k], part), len(kept_keys[k]) - 1)
                     hit = kept_keys[k][at] == part
                     back[hit] = kept_rows[k][at[hit]]
-            every = np.concatenate(rows) if len(rows) > 1 else rows[0]
+            every = np.concatenate(rows)
             rows = [every]
             who = np.repeat(np.arange(len(keys)), kinds)
             col = self.column[g & 255]
@@ -195,7 +228,7 @@ class SuffixTree:
             for lo in range(0, len(keys), 20_000):  # bounded scratch rows
                 hi = min(len(keys), lo + 20_000)
                 a, b = int(first[lo]), int(first[hi]) if hi < len(keys) else len(g)
-                p = every[back[lo:hi]] * kinds[lo:hi, None]
+                p = every[back[lo:hi]] * kinds[lo:hi, None].astype(np.float64)
                 p[who[a:b] - lo, col[a:b]] += c[a:b]
                 p /= (total[lo:hi] + kinds[lo:hi])[:, None]
                 won = c[a:b] * np.log(p[who[a:b] - lo, col[a:b]] / every[back[who[a:b]], col[a:b]])
@@ -203,14 +236,16 @@ class SuffixTree:
                 if d == 0:
                     ok[:] = True
                 keep.append(ok)
-                made.append(p[ok])
+                made.append(p[ok].astype(np.float32))
             keep = np.concatenate(keep)
             kept_keys[d] = keys[keep]
             kept_rows[d] = total_rows + np.arange(int(keep.sum()))
             total_rows += int(keep.sum())
-            rows.append(np.concatenate(made))
+            del every
+            rows.extend(made)
+            del made
         table = np.concatenate(rows)
-        del back0, index
+        del rows
         self.contexts = sum(map(len, kept_keys))
 
         # states: contexts in the tree and all their prefixes; a leading 1 marks the length
@@ -231,7 +266,8 @@ class SuffixTree:
                 at = np.minimum(np.searchsorted(kept_keys[d], part), len(kept_keys[d]) - 1)
                 hit = (length >= d) & (kept_keys[d][at] == part)
                 own[hit] = kept_rows[d][at[hit]]
-        self.logp = np.log10(table).astype(np.float32)[own]
+        self.logp = np.log10(table, out=table)[own]
+        del table
         self.step = np.zeros((len(self.names), width), np.int32)
         root = int(np.searchsorted(self.names, 1))
         self.step[:] = root
@@ -275,24 +311,19 @@ class SuffixTree:
             at = state[:k].astype(np.int64) * w + col[begin[:k] + t]
             logs[begin[:k] + t] = self.logp[at]
             state[:k] = self.step[at]
-        ends = seq.end - 1
-        if not len(seq.words):
-            return np.zeros(0), logs[ends].astype(np.float64)
-        # words and ends alternate with each other and with the run-ups, which add nothing
-        starts = np.sort(np.concatenate((seq.word_first, ends)))
-        sums = np.add.reduceat(logs.astype(np.float64), starts)
-        return sums[np.searchsorted(starts, seq.word_first)], logs[ends].astype(np.float64)
+        return seq.sums(logs)
 
 
-def fit(counts: DataFrame, gain: float = GAIN) -> SuffixTree:
-    symbols = counts.where(F.col("kind") == GRAM).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    p_min = P_MIN
-    while True:
-        rows = frequent_contexts(counts, symbols, p_min).toArrow()  # bounded: at most 256 / p_min continuations a depth
-        tree = SuffixTree(*[rows.column(c).to_numpy().astype(np.int64) for c in ("depth", "gram", "count")], gain)
-        if tree.nbytes() <= TABLE_BYTES:
-            return tree
-        p_min *= 2
+def fit(counts: DataFrame, gain: float = GAIN) -> SuffixTree | None:
+    """The automaton of the tree, or none if it is larger than BROADCAST_BYTES."""
+    made = levels(counts.where(F.col("kind") == GRAM), gain)
+    kept = reduce(DataFrame.unionByName, made).where("kept").select("depth", "gram", "count")
+    prefixes = F.expr("explode(transform(sequence(0, greatest(depth - 1, 0)), j -> struct(depth - j as d, shiftright(gram, 8 * (j + 1)) as c)))")
+    states = kept.select(prefixes).distinct().count() + 1
+    if 8 * states * (made[0].count() + 1) > BROADCAST_BYTES:
+        return None
+    rows = kept.toArrow()  # fewer than the automaton's cells
+    return SuffixTree(*[rows.column(c).to_numpy().astype(np.int64) for c in ("depth", "gram", "count")], -np.inf)
 
 
 SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, spelled double"
@@ -317,40 +348,74 @@ def score(docs: DataFrame) -> DataFrame:
     weight = SPELLED if total else 1.0
     share = (1.0 - SPELLED) / total if total else 0.0
 
-    def run(batches):
-        tree, keys, freq = model.value
+    def scores(seq, key, ids, spelled, ends):
+        """Rows SCORED of a block: one a text, and one an occurrence of a word that is not broadcast."""
+        _, keys, freq = model.value
         logs = np.log10(freq + 1.0) - floor
+        n = len(key)
+        base, known, tail_rows, tail = np.full(n, end_base), np.full(n, int(texts > 0)), np.zeros(0, np.int64), seq.words[:0]
+        total_score = np.log10(texts * share + weight * 10.0**ends)
+        if len(seq.words):
+            hit = np.zeros(len(seq.words), bool)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, seq.words), len(keys) - 1)
+                hit = keys[at] == seq.words
+                base += np.bincount(seq.word_rows[hit], logs[at[hit]], n)
+                known += per_row(seq.word_rows[hit], n)
+                mixed = np.log10(freq[at[hit]] * share + weight * 10.0 ** spelled[hit])
+                total_score += np.bincount(seq.word_rows[hit], mixed, n)
+            tail_rows, tail, spelled = seq.word_rows[~hit], seq.words[~hit], spelled[~hit]
+        m = len(tail)
+        none = lambda t, m=m: pa.nulls(m, t)
+        names = ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "spelled"]
+        full = [pa.array(key), ids, pa.array(held_out(ids.to_pylist())), pa.array(seq.n_words + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total_score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
+        yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in full], names)
+        yield pa.RecordBatch.from_arrays([pa.array(key[tail_rows]), none(pa.int64()), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64()), pa.array(tail.view(np.int64)), pa.array(spelled)], names)
+
+    def parts(batches):
+        """(first key, ids, texts) of blocks."""
         at_row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            data, offs = utf8(pick(batch, "text"))
-            ids = pick(batch, "doc_id").cast(pa.int64())
-            held = held_out(ids.to_pylist())
+            texts, ids = pick(batch, "text"), pick(batch, "doc_id").cast(pa.int64())
+            data, offs = utf8(texts)
             for a, b in blocks(offs):
-                n = b - a
-                seq = Sequences(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                spelled, ends = tree.spell(seq)
-                base, known, tail_rows, tail = np.full(n, end_base), np.full(n, int(texts > 0)), np.zeros(0, np.int64), seq.words[:0]
-                total_score = np.log10(texts * share + weight * 10.0**ends)
-                if len(seq.words):
-                    hit = np.zeros(len(seq.words), bool)
-                    if len(keys):
-                        at = np.minimum(np.searchsorted(keys, seq.words), len(keys) - 1)
-                        hit = keys[at] == seq.words
-                        base += np.bincount(seq.word_rows[hit], logs[at[hit]], n)
-                        known += per_row(seq.word_rows[hit], n)
-                        mixed = np.log10(freq[at[hit]] * share + weight * 10.0 ** spelled[hit])
-                        total_score += np.bincount(seq.word_rows[hit], mixed, n)
-                    tail_rows, tail, spelled = seq.word_rows[~hit], seq.words[~hit], spelled[~hit]
-                key = at_row + np.arange(n)
-                at_row += n
-                m = len(tail)
-                none = lambda t, m=m: pa.nulls(m, t)
-                names = ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "spelled"]
-                full = [pa.array(key), ids.slice(a, n), pa.array(held[a:b]), pa.array(seq.n_words + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total_score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
-                yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in full], names)
-                yield pa.RecordBatch.from_arrays([pa.array(key[tail_rows]), none(pa.int64()), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64()), pa.array(tail.view(np.int64)), pa.array(spelled)], names)
-
-    scored = cut(docs.select("doc_id", "text").mapInArrow(run, SCORED))
+                yield at_row, ids.slice(a, b - a), texts.slice(a, b - a), Sequences(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                at_row += b - a
+
+    def run(batches):
+        tree = model.value[0]
+        for at, ids, _, seq in parts(batches):
+            yield from scores(seq, at + np.arange(len(ids)), ids, *tree.spell(seq))
+
+    def split(batches):
+        for at, ids, text, seq in parts(batches):
+            grams, n = np.unique(seq.grams(np.arange(len(ids)))).view(np.int64), len(ids)
+            m, flat = len(grams), lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+            names = ["chunk", "key", "doc_id", "text", "gram"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.array(at + np.arange(n)), flat(ids), flat(text).cast(pa.string()), pa.nulls(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, at)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.array(grams)], names)
+
+    def looked_up(texts, found):
+        texts = texts.sort_by("key").combine_chunks()
+        data, offs = utf8(texts.column("text").combine_chunks())
+        seq = Sequences(data, offs)
+        known = found.column("key").to_numpy().view(U64)
+        order = np.argsort(known)
+        logs = np.zeros(len(seq.symbols) + 1, np.float32)
+        every = np.arange(len(offs) - 1)
+        at = np.searchsorted(known[order], seq.grams(every))
+        logs[:-1][seq.own(every)] = np.log10(found.column("p").to_numpy())[order][at].astype(np.float32)
+        return pa.Table.from_batches(list(scores(seq, texts.column("key").to_numpy(), texts.column("doc_id").combine_chunks(), *seq.sums(logs))))
+
+    docs = docs.select("doc_id", "text")
+    if tree is not None:
+        scored = cut(docs.mapInArrow(run, SCORED))
+    else:  # each block meets the probabilities of its grams
+        chunks = cut(docs.mapInArrow(split, "chunk long, key long, doc_id long, text string, gram long"))
+        grams = chunks.where("gram is not null").select(F.col("chunk").alias("block"), F.col("gram").alias("key"))
+        asked = counts.where(F.col("kind") == GRAM).select("key", "count").unionByName(grams.select("key").distinct().withColumn("count", F.lit(0).cast("long")))
+        found = grams.join(levels(asked)[-1].select(F.col("gram").alias("key"), "p"), "key")
+        scored = cut(chunks.where("gram is null").groupBy("chunk").cogroup(found.groupBy("block")).applyInArrow(looked_up, SCORED))
     rare = words.where(F.col("count") < least).select(F.col("key").alias("word"), F.col("count").alias("c"))
     tail = scored.where("word is not null").select("key", "word", "spelled").join(rare, "word", "left")
     # an unknown word's logarithm is added up as it is: its probability may be too small for a double

@@ -386,3 +386,38 @@ def test_pipeline(spark, odd, tmp_path):
 def test_blocks_cover_all():
     offs = np.array([0, 5, 5, 900, 901, 2000])
     assert [x for a, b in blocks(offs, 900) for x in range(a, b)] == list(range(5))
+
+
+def test_suffix_tree_grows(spark, monkeypatch):
+    r = random.Random(8)
+    docs = [(i, " ".join(f"w{r.choice('aabbc')}{r.choice('xyz')}" for _ in range(60))) for i in range(1200)]
+    docs += [(5000 + i, "qzj kvk") for i in range(3)]  # a share of 1e-5 or so of the symbols
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    counts = suffix_tree.corpus_counts(df).cache()
+    tree = suffix_tree.fit(counts)
+    grams = counts.where(F.col("kind") == suffix_tree.GRAM).select("key", "count").toPandas()
+    d, g, n = [], [], []
+    for k in range(suffix_tree.DEPTH + 1):
+        u, c = suffix_tree._count(grams["key"].to_numpy().astype(np.uint64) & np.uint64((1 << (8 * (k + 1))) - 1), grams["count"].to_numpy())
+        d.append(np.full(len(u), k)), g.append(u.astype(np.int64)), n.append(c)
+    d, g, n = map(np.concatenate, (d, g, n))
+    total = collections.Counter()
+    for a, b, c in zip(d, g >> 8, n, strict=True):
+        total[a, b] += c
+    often = np.array([a == 0 or total[a, b] >= suffix_tree.MIN_COUNT for a, b in zip(d, g >> 8, strict=True)])
+    brute = suffix_tree.SuffixTree(d[often], g[often], n[often])
+    assert np.array_equal(tree.names, brute.names) and np.allclose(tree.logp, brute.logp, atol=1e-5)
+    # the size of the automaton changes the plan, not the tree or the scores
+    key = lambda rows: sorted((x.doc_id, round(x.score, 3), x.n_known, round(x.base_score, 6)) for x in rows)
+    want = key(suffix_tree.score(df).collect())
+    monkeypatch.setattr(suffix_tree, "BROADCAST_BYTES", 1000)
+    assert suffix_tree.fit(counts) is None
+    got = key(suffix_tree.score(df).collect())
+    assert len(got) == len(want) and all(a[0] == b[0] and a[2:] == b[2:] and abs(a[1] - b[1]) < 0.01 for a, b in zip(got, want, strict=True))
+
+
+def test_suffix_tree_keeps_rare_contexts(spark):
+    # 2.4 million symbols, so the former share of 1e-6 asked for three occurrences
+    docs = [(i, "the cat sat on the mat " * 100) for i in range(1200)] + [(10_000 + i, "qzjkv") for i in range(12) if zlib.crc32(str(10_000 + i).encode()) % 7 != 2][:2]
+    tree = suffix_tree.fit(suffix_tree.corpus_counts(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert (1 << 8 | ord("q")) in tree.names.tolist()
