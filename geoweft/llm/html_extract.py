@@ -5,7 +5,9 @@ block trees. Over all pages of the host it is counted which text each aligned no
 nodes that mostly repeat one text are template, the rest are slots of content. A page's main
 container is its largest article (or main element), else its body. What the markup itself
 declares as menu, header, footer, sidebar, notice, advert, form, script, style or reader
-comment is left out, and so is template outside an article.
+comment is left out, and so is template, inside a main container too. Pages of a host with the
+same main text count once there, and where template would take over half of a container, its
+pages are copies of each other and nothing of it is taken.
 
 Counting is combined before the shuffle, so a host with a third of all pages costs no more
 than others. Null and empty pages, and pages without content, have the empty text. Pages
@@ -47,6 +49,8 @@ DROP_WORDS = {
 }
 #: A node is template if at least so many pages have it and so large a share repeats one text.
 MIN_PAGES, SAME_SHARE = 3, 0.6
+#: Inside a main container so many pages must repeat the text: a few pages of a small host may share a first line.
+SURE_PAGES = 5
 #: Share of link text above which a block outside an article is a menu.
 LINK_SHARE = 0.6
 #: Open elements beyond which blocks get no node; child pairs beyond which alignment is greedy.
@@ -289,13 +293,13 @@ class Aligner:
         return out
 
 
-def _size(node: Node, inside: bool) -> int:
-    """Characters of the node that the markup doesn't leave out."""
+def _size(node: Node, inside: bool, without: frozenset | set = frozenset()) -> int:
+    """Characters of the node that the markup doesn't leave out, without those of some nodes' own."""
     total = 0
     for x in node.items:
         if isinstance(x, Node):
-            total += 0 if x.dropped(inside) else _size(x, inside)
-        else:
+            total += 0 if x.dropped(inside) else _size(x, inside, without)
+        elif node.number not in without:
             total += len(x[0])
     return total
 
@@ -316,13 +320,17 @@ def container(root: Node) -> tuple[Node, bool]:
     return root, False
 
 
-def extract(root: Node, template: set[int], alignment: dict[int, int]) -> str:
+def extract(root: Node, template: set[int], alignment: dict[int, int], sure: frozenset | set = frozenset()) -> str:
     """Blocks of the main container without what the markup or the host's template leaves out."""
     top, article = container(root)
     out: list[str] = []
+    if article:
+        template = sure
+        if 2 * _size(top, True, {k for k, v in alignment.items() if v in sure}) < _size(top, True):
+            template = set()
 
     def walk(node: Node):
-        constant = not article and alignment.get(node.number, -1) in template
+        constant = alignment.get(node.number, -1) in template
         for x in node.items:
             if isinstance(x, Node):
                 if not x.dropped(article):
@@ -345,17 +353,18 @@ def _sized(df: DataFrame, text: str) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, pivot, template): the pivot page of each host and the numbers of its template nodes."""
+    """(host, pivot, template, sure): the pivot page of each host, and the numbers of its template nodes and of those that hold inside main containers too."""
     one = pages.where("html is not null").groupBy("host").agg(F.min_by("html", F.xxhash64("html")).alias("pivot"))
     pivots = cut(one)
 
     def observe(batches):
         al = Aligner()
         for batch in batches:
-            hosts, nodes, texts = [], [], []
+            hosts, nodes, texts, mains = [], [], [], []
             for host, html, pivot in zip(*[pick(batch, c).to_pylist() for c in ("host", "html", "pivot")], strict=True):
                 tree = parse(html)
                 to, todo = al.align(tree, pivot), [tree]
+                main = xxhash.xxh3_64_intdigest(extract(tree, set(), {})) - (1 << 63)
                 while todo:
                     x = todo.pop()
                     todo.extend(x.blocks())
@@ -364,14 +373,18 @@ def induce(pages: DataFrame) -> DataFrame:
                         hosts.append(host)
                         nodes.append(to[x.number])
                         texts.append(xxhash.xxh3_64_intdigest(t) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(texts, pa.int64())], ["host", "node", "text"])
+                        mains.append(main)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(texts, pa.int64()), pa.array(mains, pa.int64())], ["host", "node", "text", "main"])
 
     distinct = pages.where("html is not null").join(_sized(pivots, "pivot"), "host").select("host", "html", "pivot")
-    seen = distinct.mapInArrow(observe, "host string, node int, text long").groupBy("host", "node", "text").agg(F.count("*").alias("c"))
+    seen = distinct.mapInArrow(observe, "host string, node int, text long, main long").distinct().groupBy("host", "node", "text").agg(F.count("*").alias("c"))
     seen = seen.groupBy("host", "node").agg(F.sum("c").alias("pages"), F.max("c").alias("same"))
-    fixed = seen.where((F.col("pages") >= MIN_PAGES) & (F.col("same") >= SAME_SHARE * F.col("pages")))
-    template = fixed.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))  # at most the pivot's nodes
-    return pivots.join(template, "host", "left").select("host", "pivot", F.coalesce("template", F.array().cast("array<int>")).alias("template"))
+    seen = seen.where(F.col("pages") >= MIN_PAGES).withColumn("fixed", F.col("same") >= SAME_SHARE * F.col("pages"))
+    nodes = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("node"))))
+    kinds = {"template": F.col("fixed"), "sure": F.col("fixed") & (F.col("same") >= SURE_PAGES)}
+    found = seen.groupBy("host").agg(*[nodes(c).alias(k) for k, c in kinds.items()])  # at most the pivot's nodes
+    none = F.array().cast("array<int>")
+    return pivots.join(found, "host", "left").select("host", "pivot", *[F.coalesce(k, none).alias(k) for k in kinds])
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
@@ -386,12 +399,12 @@ def main_text(pages: DataFrame) -> DataFrame:
         al = Aligner()
         for batch in batches:
             texts = []
-            for html, pivot, template in zip(*[pick(batch, c).to_pylist() for c in ("html", "pivot", "template")], strict=True):
+            for html, pivot, template, sure in zip(*[pick(batch, c).to_pylist() for c in ("html", "pivot", "template", "sure")], strict=True):
                 if not html:
                     texts.append("")
                     continue
                 tree = parse(html)
-                texts.append(extract(tree, set(template or ()), al.align(tree, pivot) if pivot else {}))
+                texts.append(extract(tree, set(template or ()), al.align(tree, pivot) if pivot else {}, set(sure or ())))
             yield pa.RecordBatch.from_arrays([pick(batch, "page_id").cast(pa.int64()), pick(batch, "url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.join(_sized(wrappers, "pivot"), "host", "left").select("page_id", "url", "html", "pivot", "template").mapInArrow(run, RESULT)
+    return pages.join(_sized(wrappers, "pivot"), "host", "left").select("page_id", "url", "html", "pivot", "template", "sure").mapInArrow(run, RESULT)

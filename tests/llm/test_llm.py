@@ -421,3 +421,12 @@ def test_suffix_tree_keeps_rare_contexts(spark):
     docs = [(i, "the cat sat on the mat " * 100) for i in range(1200)] + [(10_000 + i, "qzjkv") for i in range(12) if zlib.crc32(str(10_000 + i).encode()) % 7 != 2][:2]
     tree = suffix_tree.fit(suffix_tree.corpus_counts(spark.createDataFrame(docs, "doc_id long, text string")))
     assert (1 << 8 | ord("q")) in tree.names.tolist()
+
+
+def test_html_template_in_articles(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Own text of page {0}, long enough to outweigh the rest.</p><div><p>Sign up for our letter</p></div></article></body>"
+    copy = "<article><h1>Same</h1><p>Copied text</p></article><script>{0}</script>"
+    pages = [(i, f"http://a.example/{i}", page.format(i)) for i in range(6)] + [(10 + i, f"http://b.example/{i}", copy.format(i)) for i in range(6)]
+    got = {x.page_id: x.text for x in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[4] == "Title 4\n\nOwn text of page 4, long enough to outweigh the rest."
+    assert all(got[10 + i] == "Same\n\nCopied text" for i in range(6))
