@@ -3,7 +3,8 @@
 Pages of a host are aligned with one page of it (the pivot) by simple tree matching of their
 block trees. Over all pages of the host it is counted which text each aligned node holds:
 nodes that mostly repeat one text are template, the rest are slots of content. A page's main
-container is its largest article (or main element), else its body. What the markup itself
+containers are its main elements and its articles outside them, else its body. Beside articles,
+without a main element, slots count that vary among the host's pages. What the markup itself
 declares as menu, header, footer, sidebar, notice, advert, form, script, style or reader
 comment is left out, and so is template, inside a main container too. Pages of a host with the
 same main text count once there, and where template would take over half of a container, its
@@ -304,41 +305,43 @@ def _size(node: Node, inside: bool, without: frozenset | set = frozenset()) -> i
     return total
 
 
-def container(root: Node) -> tuple[Node, bool]:
-    """The largest article, else the largest main element, else the whole page; and whether it is one of the former."""
-    for wanted in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            x = todo.pop()
-            if x.tag == wanted or (wanted == "main" and x.role == "main"):
-                found.append(x)
-            elif not x.dropped(False):
-                todo.extend(reversed(x.blocks()))
-        sizes = [(_size(x, True), -i) for i, x in enumerate(found)]
-        if sizes and max(sizes)[0]:
-            return found[-max(sizes)[1]], True
-    return root, False
-
-
-def extract(root: Node, template: set[int], alignment: dict[int, int], sure: frozenset | set = frozenset()) -> str:
-    """Blocks of the main container without what the markup or the host's template leaves out."""
-    top, article = container(root)
+def containers(root: Node) -> tuple[list[Node], bool]:
+    """Outermost main elements and articles with text, in page order; and whether one is a main element. Articles that the
+    markup names as comment or advert only count if there is none else, and then the largest."""
+    found, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.tag in ("article", "main") or x.role == "main":
+            found.append(x)
+        elif not x.dropped(False):
+            todo.extend(reversed(x.blocks()))
+    sizes = [_size(x, True) for x in found]
+    tops = [x for x, n in zip(found, sizes, strict=True) if n and not (x.tag == "article" and x.words & DROP_WORDS)]
+    if not tops and any(sizes):
+        tops = [found[sizes.index(max(sizes))]]
+    return tops, any(x.tag == "main" or x.role == "main" for x in tops)
+
+
+def extract(root: Node, template: set[int], alignment: dict[int, int], sure: frozenset | set = frozenset(), varying: frozenset | set = frozenset()) -> str:
+    """Blocks of the main containers, and varying slots beside articles, without what the markup or the host's template leaves out."""
+    tops, main = containers(root)
+    mine = {x.number for x in tops}
     out: list[str] = []
-    if article:
-        template = sure
-        if 2 * _size(top, True, {k for k, v in alignment.items() if v in sure}) < _size(top, True):
-            template = set()
+    repeated, constants = ({k for k, v in alignment.items() if v in kind} for kind in (template, sure))
+    if tops and 2 * sum(_size(x, True, constants) for x in tops) < sum(_size(x, True) for x in tops):
+        constants = set()
 
-    def walk(node: Node):
-        constant = alignment.get(node.number, -1) in template
+    def walk(node: Node, inside: bool):
+        inside = inside or node.number in mine
+        taken = node.number not in (constants if inside else repeated) and (inside or not tops or (not main and alignment.get(node.number, -1) in varying))
         for x in node.items:
             if isinstance(x, Node):
-                if not x.dropped(article):
-                    walk(x)
-            elif not constant and (article or x[1] <= LINK_SHARE * len(x[0])):
+                if x.number in mine or not x.dropped(inside):
+                    walk(x, inside)
+            elif taken and (inside or x[1] <= LINK_SHARE * len(x[0])):
                 out.append(x[0])
 
-    walk(top)
+    walk(root, False)
     return "\n\n".join(out)
 
 
@@ -353,7 +356,7 @@ def _sized(df: DataFrame, text: str) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, pivot, template, sure): the pivot page of each host, and the numbers of its template nodes and of those that hold inside main containers too."""
+    """(host, pivot, template, sure, varying): the pivot page of each host, and the numbers of its template nodes, of those that hold inside main containers too, and of its slots."""
     one = pages.where("html is not null").groupBy("host").agg(F.min_by("html", F.xxhash64("html")).alias("pivot"))
     pivots = cut(one)
 
@@ -381,7 +384,7 @@ def induce(pages: DataFrame) -> DataFrame:
     seen = seen.groupBy("host", "node").agg(F.sum("c").alias("pages"), F.max("c").alias("same"))
     seen = seen.where(F.col("pages") >= MIN_PAGES).withColumn("fixed", F.col("same") >= SAME_SHARE * F.col("pages"))
     nodes = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("node"))))
-    kinds = {"template": F.col("fixed"), "sure": F.col("fixed") & (F.col("same") >= SURE_PAGES)}
+    kinds = {"template": F.col("fixed"), "sure": F.col("fixed") & (F.col("same") >= SURE_PAGES), "varying": ~F.col("fixed")}
     found = seen.groupBy("host").agg(*[nodes(c).alias(k) for k, c in kinds.items()])  # at most the pivot's nodes
     none = F.array().cast("array<int>")
     return pivots.join(found, "host", "left").select("host", "pivot", *[F.coalesce(k, none).alias(k) for k in kinds])
@@ -399,12 +402,12 @@ def main_text(pages: DataFrame) -> DataFrame:
         al = Aligner()
         for batch in batches:
             texts = []
-            for html, pivot, template, sure in zip(*[pick(batch, c).to_pylist() for c in ("html", "pivot", "template", "sure")], strict=True):
+            for html, pivot, template, sure, varying in zip(*[pick(batch, c).to_pylist() for c in ("html", "pivot", "template", "sure", "varying")], strict=True):
                 if not html:
                     texts.append("")
                     continue
                 tree = parse(html)
-                texts.append(extract(tree, set(template or ()), al.align(tree, pivot) if pivot else {}, set(sure or ())))
+                texts.append(extract(tree, set(template or ()), al.align(tree, pivot) if pivot else {}, set(sure or ()), set(varying or ())))
             yield pa.RecordBatch.from_arrays([pick(batch, "page_id").cast(pa.int64()), pick(batch, "url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.join(_sized(wrappers, "pivot"), "host", "left").select("page_id", "url", "html", "pivot", "template", "sure").mapInArrow(run, RESULT)
+    return pages.join(_sized(wrappers, "pivot"), "host", "left").select("page_id", "url", "html", "pivot", "template", "sure", "varying").mapInArrow(run, RESULT)

@@ -430,3 +430,13 @@ def test_html_template_in_articles(spark):
     got = {x.page_id: x.text for x in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[4] == "Title 4\n\nOwn text of page 4, long enough to outweigh the rest."
     assert all(got[10 + i] == "Same\n\nCopied text" for i in range(6))
+
+
+def test_html_split_articles(spark):
+    whole = "<main><h1>Head</h1><p>Lead</p><article><p>One</p></article><section><p>More</p></section><article><p>Two</p></article></main><p>out</p>"
+    two = "<article><p>First part</p></article><div class=ad>Buy</div><article><p>Second</p></article><article class=comment><p>bad</p></article>"
+    slot = "<div><p>Site</p></div><h1>Title {0}</h1><article><p>Text {0} of this page</p></article><ul><li><a href=x>Link {0}</a></ul>"
+    pages = [(1, "http://one.example/", whole), (2, "http://two.example/", two)] + [(10 + i, f"http://s.example/{i}", slot.format(i)) for i in range(5)]
+    got = {x.page_id: x.text for x in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Head\n\nLead\n\nOne\n\nMore\n\nTwo" and got[2] == "First part\n\nSecond"
+    assert got[13] == "Title 3\n\nText 3 of this page"
