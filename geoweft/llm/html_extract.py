@@ -32,10 +32,14 @@ from geoweft.plans.lineage import cut
 
 # Element classes of the markup language.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "canvas"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "canvas", "annotation", "annotation-xml"}
+#: Of these, an unclosed one takes the rest of the page, as in a browser.
+SWALLOW = {"script", "style", "textarea", "title"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
-    "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+    "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "object",
+    "math", "semantics", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "ms",
+    "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover",
 }
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 BARRIER = {"ul", "ol", "dl", "table", "html", "body", "article", "div", "section", "main"}
@@ -48,6 +52,12 @@ DROP_WORDS = {
     "notice", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "sidenav",
     "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
+#: Whole classes (or ids) that name a menu, comment or advert by themselves. Inside a main container all other words of
+#: class and id are hints, which the host's template or the share of links must confirm.
+MARKS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "breadcrumb", "breadcrumbs", "comment", "comments", "disqus", "menu", "nav", "navbar",
+    "navigation", "pager", "pagination", "promo", "promoted", "promotion", "replies", "sidebar", "sidenav", "sponsor", "sponsored",
+}
 #: A node is template if at least so many pages have it and so large a share repeats one text.
 MIN_PAGES, SAME_SHARE = 3, 0.6
 #: Inside a main container so many pages must repeat the text: a few pages of a small host may share a first line.
@@ -68,10 +78,10 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]
 class Node:
     """A block element: ``items`` are runs of text (text, linked characters) and blocks, in order."""
 
-    __slots__ = ("tag", "words", "role", "items", "number")
+    __slots__ = ("tag", "words", "role", "items", "number", "marked")
 
-    def __init__(self, tag, words=frozenset(), role=""):
-        self.tag, self.words, self.role, self.items, self.number = tag, words, role, [], -1
+    def __init__(self, tag, words=frozenset(), role="", marked=False):
+        self.tag, self.words, self.role, self.items, self.number, self.marked = tag, words, role, [], -1, marked
 
     def blocks(self):
         return [x for x in self.items if isinstance(x, Node)]
@@ -79,6 +89,11 @@ class Node:
     def dropped(self, inside_article: bool) -> bool:
         if self.tag in DROP_TAGS or self.role in DROP_ROLES or (self.tag == "header" and not inside_article):
             return True
+        if inside_article:
+            return self.marked and self.tag not in ("html", "body", "main")
+        return bool(self.words & DROP_WORDS) and self.tag not in ("html", "body", "article", "main")
+
+    def hinted(self) -> bool:
         return bool(self.words & DROP_WORDS) and self.tag not in ("html", "body", "article", "main")
 
 
@@ -144,7 +159,7 @@ def parse(html: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             if not m[3].rstrip().endswith("/"):
-                at = end.end() if end else n
+                at = end.end() if end else n if tag in SWALLOW else at
             buf.append(" ")
             continue
         if tag == "br":
@@ -171,15 +186,16 @@ def parse(html: str) -> Node:
         if len(stack) > MAX_DEPTH:  # deeper blocks still split the text, but have no node
             stack.append((tag, stack[-1][1]))
             continue
-        words, role = set(), ""
+        words, role, marked = set(), "", False
         if m[3]:
             for k, v in _ATTR.findall(m[3]):
                 v = unescape(v.strip("\"'")).lower()
                 if k.lower() == "role":
                     role = v.strip()
-                else:
+                elif k.lower() == "class" or tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):  # ids of headings are anchors
                     words.update(re.findall(r"[a-z]+", v))
-        node = Node(tag, frozenset(words), role)
+                    marked = marked or not MARKS.isdisjoint(v.split())
+        node = Node(tag, frozenset(words), role, marked)
         stack[-1][1].items.append(node)
         stack.append((tag, node))
     pop(1)
@@ -316,7 +332,7 @@ def containers(root: Node) -> tuple[list[Node], bool]:
         elif not x.dropped(False):
             todo.extend(reversed(x.blocks()))
     sizes = [_size(x, True) for x in found]
-    tops = [x for x, n in zip(found, sizes, strict=True) if n and not (x.tag == "article" and x.words & DROP_WORDS)]
+    tops = [x for x, n in zip(found, sizes, strict=True) if n and not (x.tag == "article" and x.marked)]
     if not tops and any(sizes):
         tops = [found[sizes.index(max(sizes))]]
     return tops, any(x.tag == "main" or x.role == "main" for x in tops)
@@ -331,12 +347,25 @@ def extract(root: Node, template: set[int], alignment: dict[int, int], sure: fro
     if tops and 2 * sum(_size(x, True, constants) for x in tops) < sum(_size(x, True) for x in tops):
         constants = set()
 
+    def confirmed(node: Node) -> bool:
+        """Whether most of a hinted node is links or template."""
+        total = against = 0
+        todo = [node]
+        while todo:
+            y = todo.pop()
+            todo.extend(y.blocks())
+            for x in y.items:
+                if not isinstance(x, Node):
+                    total += len(x[0])
+                    against += len(x[0]) if y.number in repeated else x[1]
+        return against > LINK_SHARE * total
+
     def walk(node: Node, inside: bool):
         inside = inside or node.number in mine
         taken = node.number not in (constants if inside else repeated) and (inside or not tops or (not main and alignment.get(node.number, -1) in varying))
         for x in node.items:
             if isinstance(x, Node):
-                if x.number in mine or not x.dropped(inside):
+                if x.number in mine or not (x.dropped(inside) or (inside and x.hinted() and confirmed(x))):
                     walk(x, inside)
             elif taken and (inside or x[1] <= LINK_SHARE * len(x[0])):
                 out.append(x[0])

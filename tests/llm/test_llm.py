@@ -440,3 +440,13 @@ def test_html_split_articles(spark):
     got = {x.page_id: x.text for x in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[1] == "Head\n\nLead\n\nOne\n\nMore\n\nTwo" and got[2] == "First part\n\nSecond"
     assert got[13] == "Title 3\n\nText 3 of this page"
+
+
+def test_html_hints():
+    def text(html):
+        return html_extract.extract(html_extract.parse(html), set(), {})
+
+    kept = "<article><h2 id='related-work'>Related</h2><section id='search-methods'><p>Search</p></section><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p><p><object data=f>Fallback</object></p>"
+    assert text(kept + "</article>") == "Related\n\nSearch\n\na x=1 b\n\nFallback"
+    assert text("<article><p>One</p><div class='related-links'><a href=x>Other page</a></div><div class='box comments'><p>bad</p></div><p>Two</p></article>") == "One\n\nTwo"
+    assert text("<article><p>One</p><svg><p>Rest</p></article>") == "One\n\nRest"
