@@ -207,3 +207,16 @@ def test_streamed_requests(spark, tmp_path, multi):
     serve(req, lambda b: g.traverse_batch(b, 1), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").where("request_id = 2").count()
     assert got == len(queue_bfs(known(edges), 7, 1, []))
+
+
+def test_all_pointers(spark):
+    from geoweft.queries import SQL, Q
+
+    rows = Q["pointer_pack_unpack_all"](spark, "/root/testdata/sf0.001").collect()
+    ids = [x.event_id for x in spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id").collect()]
+    want = []
+    for i in ids:
+        raw = (i & ((1 << 40) - 1)) | (i % 65536) << 40 | (i % 256) << 56
+        want.append((i, i % 65536, i % 256, raw - (1 << 64) if raw >> 63 else raw))
+    assert sorted(map(tuple, rows)) == sorted(want) and any(x.packed < 0 for x in rows)
+    assert "pointer_pack_unpack_all" not in SQL
