@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.textkit import LOWER, U64, Spans, blocks, mix, ngram_hash, pick, utf8, word_spans
+from geoweft.llm.textkit import LOWER, U64, blocks, hash_spans, mix, ngram_hash, pick, utf8, word_spans
 from geoweft.plans.lineage import broadcast_if_small, cut
 
 #: Permutations; each gives two signature values.
@@ -68,7 +68,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     n = len(offsets) - 1
     low = LOWER[data]
     ws, we, wr = word_spans(low, offsets)
-    h = Spans(low).hash(ws, we)
+    h = hash_spans(low, ws, we)
     first = np.searchsorted(wr, np.arange(n + 1))
     g = ngram_hash(h, k)
     counts, out = np.zeros(n, np.int64), []

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from geoweft.llm.textkit import Spans, blocks, mix, ngram_hash, per_row, pick, utf8, word_spans
+from geoweft.llm.textkit import blocks, hash_spans, mix, ngram_hash, per_row, pick, utf8, word_spans
 from geoweft.llm.textkit import LOWER, U64
 
 # Boilerplate phrases.
@@ -57,7 +57,6 @@ def measure(data: np.ndarray, offsets: np.ndarray, nav_words: int = NAV_WORDS, m
     """Measures of each text of a block, and its lines: line_start, line_end, line_row, line_failed."""
     n = len(offsets) - 1
     ws, we, wr = word_spans(data, offsets)
-    spans = Spans(data)
     n_words = per_row(wr, n)
     point = (data & 0xC0) != 0x80
     points = np.concatenate(([0], np.cumsum(point)))
@@ -67,7 +66,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, nav_words: int = NAV_WORDS, m
     n_symbols = per_row(np.searchsorted(offsets, at_symbol, "right") - 1, n)
 
     # five-word windows that occur twice in a text; a window never spans two texts
-    g = ngram_hash(spans.hash(ws, we), WINDOW)
+    g = ngram_hash(hash_spans(data, ws, we), WINDOW)
     covered = np.zeros(len(ws) + 1, np.int64)
     if len(g):
         inside = np.flatnonzero(wr[: len(g)] == wr[WINDOW - 1 :])
@@ -91,7 +90,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, nav_words: int = NAV_WORDS, m
     closed = _CLOSE[data[last[has]]]
     ls, le = ls[has], le[has]
     lr = np.searchsorted(offsets, ls, "right") - 1
-    key = spans.hash(ls, le) ^ mix(lr.astype(U64))
+    key = hash_spans(data, ls, le) ^ mix(lr.astype(U64))
     _, first = np.unique(key, return_index=True)
     again = np.ones(len(key), bool)
     again[first] = False

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweft.llm.textkit import LOWER, U64, Spans, blocks, per_row, pick, utf8, word_spans
+from geoweft.llm.textkit import LOWER, U64, blocks, hash_spans, per_row, pick, utf8, word_spans
 from geoweft.plans.lineage import cut
 
 DEPTH = 5
@@ -56,7 +56,7 @@ class Sequences:
         low = LOWER[data]
         ws, we, wr = word_spans(low, offsets)
         lens = we - ws
-        self.words, self.word_rows, self.n_words = Spans(low).hash(ws, we), wr, per_row(wr, n)
+        self.words, self.word_rows, self.n_words = hash_spans(low, ws, we), wr, per_row(wr, n)
         size = per_row(wr, n, lens) + self.n_words + DEPTH + 1
         self.first = np.concatenate(([0], np.cumsum(size)[:-1])) + DEPTH  # of each text's own symbols
         self.end = self.first + size - DEPTH

@@ -54,7 +54,7 @@ class Words:
         cut = cut[inside[cut] & inside[cut - 1]]
         starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
         self.rows = np.searchsorted(offsets, starts, "right") - 1
-        h = hash_spans(low, offsets, starts, ends)
+        h = hash_spans(low, starts, ends)
         forms, first, self.form = np.unique(h, return_index=True, return_inverse=True)
         self.form = self.form.astype(np.int32)
         self.bucket = (forms & U64(WORD_BUCKETS - 1)).astype(np.int64)
