@@ -77,16 +77,19 @@ def best_fit_decreasing(lengths, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
+    """Rows PIECES: each document's ids and one end id, cut into full windows and a rest."""
+
     def run(batches):
         bpe, end = tokenizer(path), int(end_id).to_bytes(4, "little")
         step = 4 * window
         for batch in batches:
             ids_of, rows = pick(batch, "doc_id").cast(pa.int64()).to_pylist(), []
-            for at, lists, cache in bpe.batches(pick(batch, "text").to_pylist()):
-                for k, words in enumerate(lists):
-                    ids = b"".join(map(cache.__getitem__, words)) + end
+            for block in bpe.blocks(pick(batch, "text").to_pylist()):
+                raw, ends = block.ids.astype("<u4").tobytes(), (4 * block.ends).tolist()
+                for k, (x, y) in enumerate(zip(ends, ends[1:], strict=False)):
+                    ids = raw[x:y] + end
                     n = len(ids) // 4
-                    rows += [(ids_of[at + k], a // 4, min(step, len(ids) - a) // 4, zlib.crc32(ids[a : a + step]), n) for a in range(0, len(ids), step)]
+                    rows += [(ids_of[block.at + k], a // 4, min(step, len(ids) - a) // 4, zlib.crc32(ids[a : a + step]), n) for a in range(0, len(ids), step)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
