@@ -24,8 +24,8 @@ def byte_range(blobs: DataFrame, blob_hash: int, offset: int, size: int) -> Data
     return one.select("hash", F.substring("data", offset + 1, size).alias("data"))
 
 
-def chunks(blobs: DataFrame, offset: int = 0, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
-    """All chunks of every blob row from ``offset`` on: hash, offset, total_size, data.
+def chunks(blobs: DataFrame, offset: int = 0, chunk_size: int = DEFAULT_CHUNK, last: bool = False) -> DataFrame:
+    """All chunks of every blob row from ``offset`` on, or the last of them: hash, offset, total_size, data.
 
     A chunk size of 0, an offset past the end and missing bytes give no chunks. ``total_size``
     is the stored column; chunks end at the first empty one.
@@ -35,6 +35,7 @@ def chunks(blobs: DataFrame, offset: int = 0, chunk_size: int = DEFAULT_CHUNK) -
     end = F.least(F.col("size_bytes"), F.octet_length("data").cast("long"))
     rows = blobs.where(F.col("data").isNotNull() & (end > offset))
     starts = F.sequence(F.lit(offset).cast("long"), end - 1, F.lit(chunk_size).cast("long"))
+    starts = F.slice(starts, -1, 1) if last else starts
     rows = rows.select("hash", "size_bytes", "data", F.explode(starts).alias("offset"))
     piece = F.substring(F.col("data"), (F.col("offset") + 1).cast("int"), F.lit(chunk_size))
     return rows.select("hash", "offset", F.col("size_bytes").alias("total_size"), piece.alias("data"))

@@ -2,43 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OUT, IN, BOTH = "outgoing", "incoming", "both"
 DIRECTIONS = (OUT, IN, BOTH)
 
 
-def get_edges_batch(edges: DataFrame, requests: DataFrame, limit_mode: str = "scanned") -> DataFrame:
+#: Parts in which a request's edges are ranked first, so that no task sorts all edges of a hub.
+SALTS = 64
+
+
+def _smallest(joined: DataFrame, other: str, bound: Column, most: int | None) -> DataFrame:
+    """Adds ``rn`` (by other end and id) to the rows of each request that are among its first ``bound``.
+
+    Ranked in SALTS parts of each request, then among what the parts leave: at most SALTS times
+    the limit. ``most``, a literal upper bound of all limits, lets Spark cut before the shuffles too.
+    """
+    def ranked(df: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("request_id", *keys).orderBy(other, "id"))
+        df = df.withColumn("rn", rank)
+        if most is not None:
+            df = df.where(F.col("rn") <= most)
+        return df.where(F.col("rn") <= bound)
+
+    parts = ranked(joined.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))), "_salt")
+    return ranked(parts.drop("rn", "_salt"))
+
+
+def get_edges_batch(edges: DataFrame, requests: DataFrame, limit_mode: str = "scanned", most: int | None = None) -> DataFrame:
     """Requests (request_id, entity_id, direction, labels array<int>, limit int or null).
 
     Result: request_id, side (0 outgoing, 1 incoming), rn, id, source, target, label.
     ``scanned`` (parity): the limit bounds the edges looked at, before the label test, and the
     incoming side may look at as many as outgoing matches left over. ``matched``: the limit
     bounds the edges that pass. An empty label list passes all. Edges of one side are ordered
-    by their other end, then by id. Requests without a limit need no ranking of the scan: a
-    limit group of a hot entity is cut by Spark's window group limit before the shuffle.
+    by their other end, then by id, and numbered by rn. Requests without a limit are a plain
+    join: they are neither ranked nor shuffled again, and their rn is null. ``most`` is an
+    upper bound of all limits, if the caller knows one.
     """
     if limit_mode not in ("scanned", "matched"):
         raise ValueError(f"limit_mode: {limit_mode}")
     r = requests.select("request_id", F.col("entity_id"), "direction", "labels", F.col("limit").cast("long").alias("lim"))
     passes = (F.size("labels") == 0) | F.expr("array_contains(labels, label)")
 
-    def side(key: str, other: str, number: int, wanted: tuple) -> DataFrame:
-        asked = r.where(F.col("direction").isin(*wanted))
+    cols = ["request_id", "side", "rn", "id", "source", "target", "label"]
+
+    def side(asked: DataFrame, key: str, wanted: tuple, before: bool) -> DataFrame:
+        asked = asked.where(F.col("direction").isin(*wanted))
         joined = edges.select("id", "source", "target", "label").join(asked, F.col(key) == F.col("entity_id"))
-        if limit_mode == "matched":
-            joined = joined.where(passes)
-        rank = F.row_number().over(Window.partitionBy("request_id").orderBy(other, "id"))
-        return joined.select("*", F.lit(number).alias("side"), rank.cast("long").alias("rn"))
+        return joined.where(passes) if before else joined
 
-    unbounded = F.col("lim").isNull()
-    out = side("source", "target", 0, (OUT, BOTH)).where(unbounded | (F.col("rn") <= F.col("lim"))).where(passes)
+    def rows(df: DataFrame, number: int) -> DataFrame:
+        return df.withColumn("side", F.lit(number)).withColumn("rn", F.col("rn").cast("long")).select(cols)
+
+    free, bound = r.where("lim is null"), r.where("lim is not null")
+    whole = [side(free, k, w, True).withColumn("rn", F.lit(None)) for k, w in (("source", (OUT, BOTH)), ("target", (IN, BOTH)))]
+    matched = limit_mode == "matched"
+    out = _smallest(side(bound, "source", (OUT, BOTH), matched), "target", F.col("lim"), most).where(passes)
     used = out.groupBy("request_id").agg(F.count("*").alias("used"))
-    inc = side("target", "source", 1, (IN, BOTH)).join(used, "request_id", "left")
-    inc = inc.where(unbounded | (F.col("rn") <= F.col("lim") - F.coalesce("used", F.lit(0)))).where(passes).drop("used")
-    cols = ["request_id", "side", "rn", "id", "source", "target", "label"]
-    return out.select(cols).unionByName(inc.select(cols))
+    # what is left over belongs to the request, so it is known before its incoming edges are ranked
+    left = bound.join(used, "request_id", "left").withColumn("lim", F.col("lim") - F.coalesce("used", F.lit(0))).drop("used")
+    inc = _smallest(side(left, "target", (IN, BOTH), matched), "source", F.col("lim"), most).where(passes)
+    return rows(out, 0).unionByName(rows(inc, 1)).unionByName(rows(whole[0], 0)).unionByName(rows(whole[1], 1))
 
 
 def get_edges_all(edges: DataFrame, entity_id: int, direction: str, labels=()) -> DataFrame:

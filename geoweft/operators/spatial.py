@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweft.functions.scalar import tile_distance, world_to_tile
+from geoweft.plans.lineage import broadcast_if_small
 
 # Bounds of the grid resolution and of the adaptive level of detail.
 MIN_BITS, MAX_BITS, LOD_LIMIT = 4, 8, 1000
@@ -71,9 +72,10 @@ def coarse_bounds(cells: DataFrame, bounds, bits: int, lod: int | None = None) -
 def viewport(cells: DataFrame, bounds, bits: int, limit: int | None = None, ordered: bool = False) -> DataFrame:
     """Positions inside the closed rectangle, compared in single precision.
 
-    NaN or inverted bounds and a limit of 0 give no rows. The cell range prunes files that are
-    sorted by cell; Catalyst can't derive it from x and y. With a limit the rows come in the
-    grid's visiting order at the chosen level of detail (a top-k, not a full sort).
+    NaN or inverted bounds and a limit of 0 give no rows. Where x and y are stored columns, their
+    bounds reach the scan, and the statistics of files sorted by cell (Graph.save) skip row
+    groups; the cell range itself is computed and prunes nothing. With a limit the rows come in
+    the grid's visiting order at the chosen level of detail (a top-k, not a full sort).
     """
     b = [f32(v) for v in bounds]
     if any(math.isnan(v) for v in b) or b[0] > b[2] or b[1] > b[3] or limit == 0:
@@ -88,23 +90,36 @@ def viewport(cells: DataFrame, bounds, bits: int, limit: int | None = None, orde
     return hits if limit is None else hits.limit(limit)
 
 
-def viewport_batch(cells: DataFrame, requests: DataFrame, bits: int, coarse_bits: int = 4) -> DataFrame:
-    """Requests (request_id, min_x, min_y, max_x, max_y) joined on coarse cells, then tested exactly.
+#: Levels of the cells that viewport requests are joined on, and the cells in a row that a request may cover at a level.
+LEVELS, MOST_CELLS = (10, 7, 4), 4
 
-    A request becomes at most 4**coarse_bits rows, so the equi join's build side is bounded by
-    the request count; the exact test is a residual condition of the same join.
+
+def viewport_batch(positions: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (request_id, min_x, min_y, max_x, max_y) joined on cells, then tested exactly.
+
+    A request goes to the finest of LEVELS at which it covers at most MOST_CELLS cells a side
+    (to the coarsest, where it may cover all, if there is none), so small requests meet the
+    positions of small cells only. Requests are broadcast if their rows are few enough (a
+    checked size); else both sides are shuffled by level and cell, and AQE splits dense cells.
+    The exact test is a residual condition of the same join.
     """
-    c = min(coarse_bits, bits)
-    n, s = 1 << c, bits - c
     r = requests.select("request_id", *[F.col(k).cast("float").alias(k) for k in ("min_x", "min_y", "max_x", "max_y")])
     r = r.where((F.col("min_x") <= F.col("max_x")) & (F.col("min_y") <= F.col("max_y")))
     r = r.where(~(F.isnan("min_x") | F.isnan("min_y") | F.isnan("max_x") | F.isnan("max_y")))
-    span = lambda lo, hi: F.explode(F.sequence(world_to_tile(lo, n), world_to_tile(hi, n)))
-    r = r.withColumn("_cx", span("min_x", "max_x")).withColumn("_cy", span("min_y", "max_y"))
-    p = cells.select("entity_id", "x", "y", F.shiftright("gx", s).alias("_cx"), F.shiftright("gy", s).alias("_cy"))
-    p = p.where(~F.isnan("x") & ~F.isnan("y"))
+    tile = lambda c, level: world_to_tile(c, 1 << level)
+    few = lambda lo, hi, level: tile(hi, level) - tile(lo, level) < MOST_CELLS
+    fits = [(few("min_x", "max_x", v) & few("min_y", "max_y", v), v) for v in LEVELS[:-1]]
+    level = F.coalesce(*[F.when(ok, F.lit(v)) for ok, v in fits], F.lit(LEVELS[-1]))
+    at = lambda c: F.coalesce(*[F.when(F.col("_level") == v, tile(c, v)) for v in LEVELS])
+    span = lambda lo, hi: F.explode(F.sequence(at(lo), at(hi)))
+    r = r.withColumn("_level", level).withColumn("_cx", span("min_x", "max_x")).withColumn("_cy", span("min_y", "max_y"))
+    r = broadcast_if_small(r, 48)
+    own = F.explode(F.array(*[F.struct(F.lit(v).alias("_level"), tile("x", v).alias("_cx"), tile("y", v).alias("_cy")) for v in LEVELS]))
+    p = positions.select("entity_id", "x", "y").where(~F.isnan("x") & ~F.isnan("y"))
+    p = p.select("entity_id", "x", "y", own.alias("_at")).select("entity_id", "x", "y", "_at.*")
     hit = (p["x"] >= r["min_x"]) & (p["x"] <= r["max_x"]) & (p["y"] >= r["min_y"]) & (p["y"] <= r["max_y"])
-    return p.join(r, (p["_cx"] == r["_cx"]) & (p["_cy"] == r["_cy"]) & hit).select("request_id", p["entity_id"])
+    same = [p[c] == r[c] for c in ("_level", "_cx", "_cy")]
+    return p.join(r, [*same, hit]).select("request_id", p["entity_id"])
 
 
 def grid_cell_counts(cells: DataFrame) -> DataFrame:

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweft.functions.scalar import op_key, speedup
+from geoweft.plans.lineage import broadcast_if_small, cut
+
+# The percentiles that are reported.
+PERCENTILES = {"p50_ns": 0.5, "p95_ns": 0.95, "p99_ns": 0.99}
+#: Accuracy of the sketch (its rank error is at most 1 / SKETCH of a group), width of a bracket in ranks, which leaves
+#: four such errors on each side, and the size up to which a group is its own bracket.
+SKETCH, BRACKET, SMALL_GROUP = 10_000, 0.001, 10_000
 
 
 def graph_stats(entities, edges, blobs) -> DataFrame:
@@ -24,21 +31,36 @@ def graph_stats(entities, edges, blobs) -> DataFrame:
 def latency_stats(samples: DataFrame, by: list[str], value: str = "ns") -> DataFrame:
     """Mean, nearest-rank percentiles, extremes and sample deviation of each group.
 
-    The rank is round(p * (n - 1)), half away from zero. Ranks come from counts of distinct
-    values, so a hot group is combined before the shuffle and never gathered as a list.
+    The rank is round(p * (n - 1)), half away from zero; null samples don't count. A first pass
+    brackets each percentile by a quantile sketch, whose rank error has a bound; a second one
+    counts what lies below each bracket and the distinct values inside. So a task ranks
+    BRACKET of a group's values at most (whole groups of up to SMALL_GROUP), and everything
+    before is combined ahead of the shuffle. The samples are read twice.
     """
-    v = samples.select(*by, F.col(value).cast("double").alias("v"))
-    base = v.groupBy(*by).agg(
+    v = samples.select(*by, F.col(value).cast("double").alias("v")).where("v is not null")
+    edges = [F.percentile_approx("v", F.lit([max(0.0, p - BRACKET / 2), min(1.0, p + BRACKET / 2)]), F.lit(SKETCH)).alias(f"e{i}") for i, p in enumerate(PERCENTILES.values())]
+    base = cut(v.groupBy(*by).agg(
         F.avg("v").alias("mean_ns"), F.min("v").alias("min_ns"), F.max("v").alias("max_ns"),
-        F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("stddev_ns"), F.count("v").alias("sample_count"),
-    )
-    w = Window.partitionBy(*by).orderBy("v")
-    last = F.sum("c").over(w) - 1
-    total = F.sum("c").over(Window.partitionBy(*by))
-    ranked = v.groupBy(*by, "v").agg(F.count("*").alias("c")).select(*by, "v", "c", last.alias("last"), total.alias("n"))
-    at = lambda p: F.min(F.when(F.col("last") >= F.round(F.lit(p) * (F.col("n") - 1)), F.col("v")))
-    pct = ranked.groupBy(*by).agg(*[at(p).alias(k) for k, p in (("p50_ns", 0.5), ("p95_ns", 0.95), ("p99_ns", 0.99))])
-    return base.join(pct, by).withColumn("median_ns", F.col("p50_ns"))
+        F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("stddev_ns"), F.count("v").alias("sample_count"), *edges,
+    ))
+    small = F.col("sample_count") <= SMALL_GROUP
+    brackets = F.array(*[
+        F.struct(
+            F.lit(k).alias("k"), F.round(F.lit(p) * (F.col("sample_count") - 1)).alias("rank"),
+            F.when(small, F.col("min_ns")).otherwise(F.col(f"e{i}")[0]).alias("low"), F.when(small, F.col("max_ns")).otherwise(F.col(f"e{i}")[1]).alias("high"),
+        )
+        for i, (k, p) in enumerate(PERCENTILES.items())
+    ])
+    wanted = broadcast_if_small(base.select(*by, brackets.alias("brackets")), 256)
+    on = [v[c].eqNullSafe(wanted[c]) for c in by]
+    each = v.join(wanted, on).select(*[v[c] for c in by], "v", F.explode("brackets").alias("b")).select(*by, "v", "b.*").where("v <= high")
+    # values below a bracket meet in one row, with a null value that comes first
+    counted = each.groupBy(*by, "k", "rank", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    last = F.sum("c").over(Window.partitionBy(*by, "k").orderBy(F.col("v").asc_nulls_first())) - 1
+    pct = counted.withColumn("last", last).where("last >= rank").groupBy(*by).agg(*[F.min(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in PERCENTILES])
+    on = [base[c].eqNullSafe(pct[c]) for c in by]
+    own = [c for c in base.columns if c not in ("e0", "e1", "e2")]
+    return base.join(pct, on).select(*[base[c] for c in own], *[pct[k] for k in PERCENTILES], pct["p50_ns"].alias("median_ns"))
 
 
 def by_operation(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

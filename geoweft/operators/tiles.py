@@ -39,14 +39,15 @@ def encode_frame(request_id: int, lod: int, tiles: list[tuple]) -> bytes:
 def encode_frames(request_id: int, lod: int, tiles: Iterable[tuple]) -> Iterator[bytes]:
     """As many frames as the tile count and the one-byte deltas ask for."""
     part: list[tuple] = []
+    box = (0, 0, 0, 0)
     for t in tiles:
-        trial = [*part, t]
-        xs, ys = [p[0] for p in trial], [p[1] for p in trial]
-        if part and (len(trial) > MAX_TILES or max(xs) - min(xs) > MAX_DELTA or max(ys) - min(ys) > MAX_DELTA):
+        x, y = t[:2]
+        wider = (min(box[0], x), max(box[1], x), min(box[2], y), max(box[3], y)) if part else (x, x, y, y)
+        if part and (len(part) == MAX_TILES or wider[1] - wider[0] > MAX_DELTA or wider[3] - wider[2] > MAX_DELTA):
             yield encode_frame(request_id, lod, part)
-            part = [t]
-        else:
-            part = trial
+            part, wider = [], (x, x, y, y)
+        part.append(t)
+        box = wider
     yield encode_frame(request_id, lod, part)
 
 

@@ -60,7 +60,20 @@ def traverse_batch(entities, edges, requests: DataFrame, depth: int, labels=(),
             seen = seen.unionByName(level.select("request_id", "id"))
     if not path:
         return found
+    if limit is None:
+        return _numbered(found)
+    # a literal limit: Spark keeps each task's first rows only before the shuffle
     ranked = found.withColumn("ord", F.row_number().over(Window.partitionBy("request_id").orderBy("depth", "path")))
-    if limit is not None:
-        ranked = ranked.where(F.col("ord") <= limit)
-    return ranked.drop("path")
+    return ranked.where(F.col("ord") <= limit).drop("path")
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """``ord`` of all rows without gathering a request: rows are sorted over range partitions and
+    written once; a partition's first place comes from the counts of the ones before."""
+    laid = found.repartitionByRange("request_id", "depth", "path").sortWithinPartitions("request_id", "depth", "path")
+    laid = cut(laid.select("request_id", "id", "depth", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")))
+    before = Window.partitionBy("request_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = laid.groupBy("request_id", "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    parts = parts.select("request_id", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    place = F.col("_place") - F.col("_first") + F.col("_from") + 1
+    return laid.join(parts, ["request_id", "_part"]).select("request_id", "id", "depth", place.cast("int").alias("ord"))

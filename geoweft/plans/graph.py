@@ -12,7 +12,13 @@ from geoweft.operators import blobs as B
 from geoweft.operators import edges as E
 from geoweft.operators import lookup, search, spatial, stats
 from geoweft.operators.traverse import traverse_batch
-from geoweft.schema import LABEL_MASK, TABLES, BadRequest, BlobNotFound, EntityNotFound
+from geoweft.schema import CODEC_ALL, LABEL_MASK, TABLES, BadRequest, BlobNotFound, EntityNotFound
+
+
+def _not_negative(**arguments: int | None) -> None:
+    for name, value in arguments.items():
+        if value is not None and value < 0:
+            raise BadRequest(f"{name}: {value}")
 
 
 class Graph:
@@ -67,6 +73,18 @@ class Graph:
     def stats(self) -> DataFrame:
         return stats.graph_stats(self.entities, self.raw_edges, self.blobs)
 
+    def hello(self) -> DataFrame:
+        """One row: what a client is told first, the counts and the supported codecs."""
+        return self.stats().select("entities", "edges", "blob_bytes", F.lit(CODEC_ALL).alias("supported_codecs"))
+
+    def health(self) -> DataFrame:
+        """One row: ok and the counts."""
+        return self.stats().select(F.lit(True).alias("ok"), "*")
+
+    def is_loaded(self) -> bool:
+        """Whether the resolved tables are kept in memory or on disk."""
+        return all(getattr(self, name).storageLevel != StorageLevel.NONE for name in ("entities", "edges", "positions"))
+
     def _ids(self, *ids: int) -> DataFrame:
         return self.spark.createDataFrame([(int(i),) for i in ids], "id long")
 
@@ -87,27 +105,30 @@ class Graph:
     def positions_of(self, ids: DataFrame) -> DataFrame:
         return lookup.positions_of(self.positions, ids)
 
-    def get_edges_batch(self, requests: DataFrame, limit_mode: str = "scanned") -> DataFrame:
-        return E.get_edges_batch(self.edges, requests, limit_mode)
+    def get_edges_batch(self, requests: DataFrame, limit_mode: str = "scanned", most: int | None = None) -> DataFrame:
+        return E.get_edges_batch(self.edges, requests, limit_mode, most)
 
     def get_edges(self, entity_id: int, direction: str = E.OUT, labels=(), limit: int | None = None, limit_mode: str = "scanned") -> DataFrame:
         if direction not in E.DIRECTIONS:
             raise BadRequest(f"direction: {direction}")
+        _not_negative(limit=limit)
         if limit is None:
             found = E.get_edges_all(self.edges, entity_id, direction, labels)
         else:
             rows = [(0, int(entity_id), direction, [int(x) for x in labels], int(limit))]
             req = self.spark.createDataFrame(rows, "request_id long, entity_id long, direction string, labels array<int>, limit int")
-            found = self.get_edges_batch(req, limit_mode)
+            found = E.get_edges_batch(self.edges, req, limit_mode, most=int(limit))
         if not self.has_entity(entity_id):
             raise EntityNotFound(entity_id)
         end = F.when(F.col("side") == 0, F.col("target")).otherwise(F.col("source"))
         return found.orderBy("side", end, "id").select("id", "source", "target", "label")
 
     def edge_page(self, offset: int, limit: int) -> DataFrame:
+        _not_negative(offset=offset, limit=limit)
         return E.edge_page(self.raw_edges, offset, limit)
 
     def traverse_batch(self, requests: DataFrame, depth: int, labels=(), limit: int | None = None, **kw) -> DataFrame:
+        _not_negative(depth=depth, limit=limit)
         return traverse_batch(self.entities, self.edges, requests, depth, labels, limit, **kw)
 
     def traverse(self, start: int, depth: int, labels=(), limit: int | None = None, **kw) -> DataFrame:
@@ -115,11 +136,12 @@ class Graph:
         return self.traverse_batch(req, depth, labels, limit, **kw).drop("request_id")
 
     def search_spatial(self, min_x, min_y, max_x, max_y, limit: int | None = None, ordered: bool = False) -> DataFrame:
+        _not_negative(limit=limit)
         hits = spatial.viewport(self.cells, (min_x, min_y, max_x, max_y), self.bits, limit, ordered)
         return hits.select(F.col("entity_id").alias("id"))
 
     def search_spatial_batch(self, requests: DataFrame) -> DataFrame:
-        return spatial.viewport_batch(self.cells, requests, self.bits)
+        return spatial.viewport_batch(self.positions, requests)
 
     def search_property_key(self, key: str, limit: int | None = None) -> DataFrame:
         return search.by_key(self.properties, key, limit)
@@ -137,4 +159,10 @@ class Graph:
         return one
 
     def blob_chunks(self, blob_hash: int, offset: int = 0, chunk_size: int = B.DEFAULT_CHUNK) -> DataFrame:
+        _not_negative(offset=offset, chunk_size=chunk_size)
         return B.chunks(self.get_blob(blob_hash), offset, chunk_size)
+
+    def last_chunk(self, blob_hash: int, offset: int = 0, chunk_size: int = B.DEFAULT_CHUNK) -> DataFrame:
+        """The last chunk of a stream from ``offset`` on; no row if there is none."""
+        _not_negative(offset=offset, chunk_size=chunk_size)
+        return B.chunks(self.get_blob(blob_hash), offset, chunk_size, last=True)
