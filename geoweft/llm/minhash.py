@@ -16,9 +16,13 @@ Steps, none of which gathers a group of copies or emits its pairs:
    dealt into blocks that meet two at a time and return only what joins components. So no link
    between classes that share a band is lost; pairs inside a component need no comparison.
 
+A bucket of many members is joined in parts of PART_ROWS, so no band key makes a task large.
+
 Nulls and texts without words have no shingles and link to nothing; a text with fewer words
-than a shingle is one shingle. Rows without an id are never linked. Repeated rows with one id
-are one document and all carry its result. An empty table gives no rows.
+than a shingle is one shingle. Rows without an id are never linked. Rows that share an id are
+one document and all carry its result; where their texts differ, the one with the smallest
+digest is the document's. An empty table gives no rows. Very long texts are held whole, a few at
+a time. Columns other than id and text, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -31,15 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.textkit import LOWER, U64, blocks, hash_spans, mix, ngram_hash, pick, utf8, word_spans
+from geoweft.llm.textkit import LOWER, U64, blocks, hash_spans, mix, ngram_hash, pick, small_batches, utf8, word_spans
 from geoweft.plans.lineage import broadcast_if_small, cut
 
 #: Permutations; each gives two signature values.
 PERMUTATIONS = 64
 #: Highest chance that a pair right at the threshold shares no band.
 MISS = 1e-6
-#: Sketch bits (of 128) that may differ: 5 standard deviations above the mean at the threshold.
-SKETCH_SIGMAS = 5.0
+#: Sketch bits (of 128) that may differ: 6 standard deviations above the mean at the threshold.
+SKETCH_SIGMAS = 6.0
+#: Members of a bucket that are joined with its leaders by one task.
+PART_ROWS = 1000
+#: Rows about buckets are broadcast up to this size; beyond it they are joined by key and part.
+KEYS_BYTES = 4 << 20
 #: Rounds of comparing open buckets with leaders before the exact remainder.
 LEADER_ROUNDS = 3
 #: A further round follows only if one in this many candidates of the last was a link.
@@ -123,17 +131,23 @@ def sketches(sig: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view("<i8").reshape(len(sig), 2)
 
 
-SIGNED = "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, bands array<long>"
+SIGNED = "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, bands array<long>, digest long"
+
 
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, digest of the text)."""
+    text = F.col(text_col).cast("string")
+    return small_batches(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("digest")))
 
-def sign(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: set size, a 128-bit digest of the set, sketch and band keys (null without shingles)."""
+
+def sign(texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Per row: set size, a 128-bit digest of the set, sketch and band keys (null without shingles), digest of the text."""
     bands, rows = bands_for(threshold)
 
     def run(batches):
         for batch in batches:
-            data, offs = utf8(pick(batch, text_col))
-            ids = pick(batch, id_col).cast(pa.int64())
+            data, offs = utf8(pick(batch, "text"))
+            ids, digest = pick(batch, "id"), pick(batch, "digest")
             for a, b in blocks(offs):
                 flat, counts = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], k)
                 full = np.flatnonzero(counts)
@@ -151,17 +165,34 @@ def sign(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id", text
                         per[i] = key
                 none = counts == 0
                 arrays = [pa.array(c, pa.int64(), mask=none) for c in cols]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, n), pa.array(counts), *arrays, pa.array(per, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, n), pa.array(counts), *arrays, pa.array(per, pa.list_(pa.int64())), digest.slice(a, n)], ["doc_id", "n", "f1", "f2", "s1", "s2", "bands", "digest"])
+
+    return texts.mapInArrow(run, SIGNED)
+
+
+def chosen(signed: DataFrame) -> DataFrame:
+    """(doc_id, own): of every id with several rows, the row that counts."""
+    twice = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    return signed.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("n", "f1", "f2", "s1", "s2", "bands", "digest"), F.struct("digest", "f1", "f2")).alias("own"))
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, SIGNED)
+def one_text_each(texts: DataFrame, own: DataFrame) -> DataFrame:
+    """(id, text): of the ids in ``own`` the text that counts, once; others as they are."""
+    its = broadcast_if_small(own.select(F.col("doc_id").alias("id"), F.col("own.digest").alias("its")), 32)
+    some = texts.join(its, "id").where("its <=> digest").groupBy("id").agg(F.first("text").alias("text"))
+    return texts.join(its, "id", "left_anti").select("id", "text").unionByName(some)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """No aggregate here: Spark splits a hot id of the join above only if both its sides come straight from shuffles."""
+    return texts.select("id", "text").join(broadcast_if_small(ids, 16), "id", "left_semi")
+
+
+def confirm(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    texts = texts.join(broadcast_if_small(ids, 16), "id", "left_semi").dropDuplicates(["id"])
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    t = _of_ids(texts, ids)
+    both = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
         for batch in batches:
@@ -224,24 +255,38 @@ def _links_of_block(pdf: pd.DataFrame, k: int, percent: int) -> list[tuple[int,
     return out
 
 
-def compare_blocks(docs: DataFrame, grouped: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between different roots inside each group (id, root, group), all pairs tested.
+def _with_partner(pdf: pd.DataFrame, percent: int, most: int) -> np.ndarray:
+    """Whether each row has another root's row whose set size and sketch allow a link."""
+    n, root = pdf["n"].to_numpy(), pdf["root"].to_numpy()
+    s = pdf[["s1", "s2"]].to_numpy().astype(np.int64).view(U64)
+    apart = sum(np.bitwise_count(s[:, None, c] ^ s[None, :, c]).astype(np.int64) for c in (0, 1))
+    near = (apart <= most) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
+    return (near & (root[:, None] != root[None, :])).any(axis=1)
+
 
-    A group is dealt into blocks of about BLOCK documents; a task meets two blocks at a time and
-    returns only links that join components.
+def compare_blocks(texts: DataFrame, grouped: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different roots inside each group (id, root, n, s1, s2, group).
+
+    A group is dealt into blocks of about BLOCK documents. Two blocks at a time meet by sketch
+    and size only; the texts of documents that have a possible partner there follow, all their
+    pairs are tested, and only links that join components return.
     """
-    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    sizes = broadcast_if_small(cut(grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))), 16)
     own = grouped.join(sizes, "group").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    ids = cut(own.select("id").distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(broadcast_if_small(ids, 16), "id", "left_semi").dropDuplicates(["id"])
-    rows = own.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("id", "root", "text", "group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("id", "root", "n", "s1", "s2", "group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    most = sketch_distance(percent / 100)
+
+    def possible(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id")
+        return pdf.loc[_with_partner(pdf, percent, most), ["id", "root", "group", "i", "j"]]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_links_of_block(pdf, k, percent), columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("group", "i", "j").applyInPandas(run, "a long, b long")
+    near = cut(rows.groupBy("group", "i", "j").applyInPandas(possible, "id long, root long, group long, i int, j int"))
+    with_text = near.join(_of_ids(texts, cut(near.select("id").distinct())), "id")
+    return with_text.groupBy("group", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -271,14 +316,24 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
     threshold = percent / 100
-    signed = cut(sign(docs, k, threshold, id_col, text_col))
+    texts = texts_of(docs, id_col, text_col)
+    signed = cut(sign(texts, k, threshold))
+    own = cut(chosen(signed))
+    if not own.isEmpty():
+        texts = one_text_each(texts, own)
+        own = broadcast_if_small(own, 400)
+        signed = signed.join(own, "doc_id", "left").select("doc_id", *[F.when(F.col("own").isNull(), F.col(c)).otherwise(F.col(f"own.{c}")).alias(c) for c in signed.columns[1:]])
     usable = signed.where("n > 0 and doc_id is not null")
     firsts = [F.first(c).alias(c) for c in ("n", "s1", "s2", "bands")]
     classes = cut(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), *firsts))
 
     rows = classes.select("id", "n", "s1", "s2", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = cut(rows.join(shared, "key", "left_semi"))
+    shared = rows.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"), F.count("*").alias("c")).where("c > 1").drop("c")
+    members = cut(rows.join(shared, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+
+    def in_parts(df: DataFrame) -> DataFrame:
+        """A row for each part of its bucket, to meet all its members there."""
+        return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     most = sketch_distance(threshold)
 
@@ -286,24 +341,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         """Pairs of one bucket that sizes and sketches allow."""
         near = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2"))) <= most
         size = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & size & near
+        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") != F.col("y.id")) & size & near
         if extra is not None:
             on &= extra
         return x.alias("x").join(y.alias("y"), on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
     item = F.struct("id", "n", "s1", "s2")
-    leaders = members.groupBy("key").agg(F.min(item).alias("l1"), F.min_by(item, F.xxhash64("id")).alias("l2"))
-    leaders = leaders.select("key", F.explode(F.array("l1", "l2")).alias("l")).select("key", "l.*").distinct()
-    tried = cut(candidates(members, leaders).distinct())
-    links = cut(confirm(docs, tried, k, percent, id_col, text_col))
+    leaders = members.groupBy("key").agg(F.first("parts").alias("parts"), F.min(item).alias("l1"), F.min_by(item, F.xxhash64("id")).alias("l2"))
+    leaders = leaders.select("key", "parts", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("l")).select("key", "parts", "l.*")
+    tried = cut(candidates(members, broadcast_if_small(cut(in_parts(leaders)), 64, KEYS_BYTES)).distinct())
+    links = cut(confirm(texts, tried, k, percent))
     roots = components(links)
 
     def open_buckets(roots: DataFrame) -> DataFrame:
         """Members of the buckets that span several components, with their bucket's main one."""
         labelled = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        return cut(labelled.join(main.select("key", "main"), "key"))
+        sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("c"), F.first("parts").alias("parts"))
+        main = sizes.groupBy("key").agg(F.first("parts").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
+        main = broadcast_if_small(cut(in_parts(main.where("roots > 1")).select("key", "part", "main")), 32, KEYS_BYTES)
+        return cut(labelled.join(main, ["key", "part"]))
 
     def join_up(roots: DataFrame, more: DataFrame) -> DataFrame:
         return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -314,13 +370,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     more = None
     for r in range(LEADER_ROUNDS):
         best = [F.min_by(item, F.xxhash64(F.lit(2 * r + i + 1), "id")).alias(f"l{i}") for i in range(2)]
-        leaders = open_.where("root = main").groupBy("key").agg(*best)
-        leaders = leaders.select("key", F.explode(F.array("l0", "l1")).alias("l")).select("key", "l.*").distinct()
+        leaders = open_.where("root = main").groupBy("key").agg(F.first("parts").alias("parts"), *best)
+        leaders = leaders.select("key", "parts", F.explode(F.array_distinct(F.array("l0", "l1"))).alias("l")).select("key", "parts", "l.*")
+        leaders = broadcast_if_small(cut(in_parts(leaders)), 64, KEYS_BYTES)
         fresh = cut(candidates(open_.where("root <> main"), leaders).distinct().join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
         tried = tried.unionByName(fresh)
-        links = cut(confirm(docs, fresh, k, percent, id_col, text_col))
+        links = cut(confirm(texts, fresh, k, percent))
         if links.count() * LEADER_YIELD < fresh.count():
             more = links
             break
@@ -328,19 +385,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         open_ = open_buckets(roots)
 
     # exact remainder: small buckets by pairs, large ones by blocks
-    counts = open_.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lead"))
+    counts = cut(open_.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lead"), F.first("parts").alias("parts")))
     small = open_.join(counts.where(F.col("c") <= SMALL_BUCKET).select("key"), "key", "left_semi")
     other = F.col("x.root") != F.col("y.root")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
     rest = cut(candidates(small.where("root <> main"), small, other & once).distinct().join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        found = confirm(docs, rest, k, percent, id_col, text_col)
+        found = confirm(texts, rest, k, percent)
         more = found if more is None else more.unionByName(found)
-    large = cut(open_.join(counts.where(F.col("c") > SMALL_BUCKET).select("key", "lead"), "key").select("id", "root", "lead").distinct())
+    leads = in_parts(counts.where(F.col("c") > SMALL_BUCKET)).select("key", "part", "lead")
+    large = cut(open_.join(broadcast_if_small(leads, 32, KEYS_BYTES), ["key", "part"]).select("id", "root", "n", "s1", "s2", "lead").distinct())
     if not large.isEmpty():
         chained = components(large.select(F.col("id").alias("a"), F.col("lead").alias("b")))
-        grouped = large.select("id", "root").distinct().join(chained.withColumnRenamed("root", "group"), "id", "left")
-        found = compare_blocks(docs, grouped.withColumn("group", F.coalesce("group", "id")), k, percent, id_col, text_col)
+        grouped = large.drop("lead").distinct().join(chained.withColumnRenamed("root", "group"), "id", "left")
+        found = compare_blocks(texts, grouped.withColumn("group", F.coalesce("group", "id")), k, percent)
         more = found if more is None else more.unionByName(found)
     if more is not None:
         roots = join_up(roots, more)

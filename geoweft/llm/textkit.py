@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Bytes of text handled at a time.
 BLOCK_BYTES = 2 << 20
+#: Rows with texts that cross to Python at a time.
+BATCH_ROWS = 1000
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -34,6 +36,14 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; whole texts cross to Python in batches of BATCH_ROWS rows at most, as their size is open."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 try:
     _trim = ctypes.CDLL("libc.so.6").malloc_trim
 except (OSError, AttributeError):  # another C library
