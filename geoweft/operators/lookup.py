@@ -17,18 +17,24 @@ def blob_refs(blobs: DataFrame) -> DataFrame:
     return blobs.select("entity_id", "key", "hash", F.coalesce("mime", F.lit("")).alias("mime"), F.col("size_bytes").alias("size"))
 
 
-def get_entities(entities, properties, blobs, ids: DataFrame, want_properties: bool, want_blobs: bool) -> DataFrame:
-    """One row per known id of ``ids`` (column ``id``): id, properties, blob_refs.
+def of_ids(df: DataFrame, column: str, ids: DataFrame | list[int]) -> DataFrame:
+    """Rows of the ids asked for: a semi join with a frame (column ``id``), or a pushed filter for a list."""
+    if isinstance(ids, list):
+        return df.where(F.col(column).isin(ids))
+    return df.join(ids.select(F.col("id").alias(column)).distinct(), column, "left_semi")
+
+
+def get_entities(entities, properties, blobs, ids: DataFrame | list[int], want_properties: bool, want_blobs: bool) -> DataFrame:
+    """One row per known id of ``ids`` (a frame with column ``id``, or a short list): id, properties, blob_refs.
 
     Unknown ids give no row. A list that is not wanted is empty and its table is not read.
     The aggregations run only over rows whose entity was asked for.
     """
-    out = entities.join(ids.select("id").distinct(), "id", "left_semi")
+    out = of_ids(entities, "id", ids)
 
     def attach(rows: DataFrame, name: str, item) -> None:
         nonlocal out
-        wanted = rows.join(ids.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi")
-        lists = wanted.groupBy(F.col("entity_id").alias("id")).agg(F.sort_array(F.collect_list(item)).alias(name))
+        lists = of_ids(rows, "entity_id", ids).groupBy(F.col("entity_id").alias("id")).agg(F.sort_array(F.collect_list(item)).alias(name))
         out = out.join(lists, "id", "left")
 
     prop_type = "array<struct<key:string,value:struct<type:tinyint,int:bigint,float:double,text:string,bool:boolean,blob:struct<hash:bigint,size:bigint>>>>"
@@ -45,5 +51,11 @@ def get_entities(entities, properties, blobs, ids: DataFrame, want_properties: b
     return out.select("id", empty("properties", prop_type), empty("blob_refs", ref_type))
 
 
-def positions_of(positions: DataFrame, ids: DataFrame) -> DataFrame:
-    return positions.select("entity_id", "x", "y").join(ids.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+def known(entities: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, known) for every id asked for."""
+    found = entities.join(ids.select("id").distinct(), "id", "left_semi").select("id", F.lit(True).alias("known"))
+    return ids.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def positions_of(positions: DataFrame, ids: DataFrame | list[int]) -> DataFrame:
+    return of_ids(positions.select("entity_id", "x", "y"), "entity_id", ids)

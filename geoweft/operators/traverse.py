@@ -20,10 +20,15 @@ def traverse_batch(entities, edges, requests: DataFrame, depth: int, labels=(),
     lexicographically smallest shortest path. ``limit`` truncates after the traversal.
     Paths are carried only where the order matters.
     """
+    start = requests.select("request_id", F.col("start_id").alias("id")).join(entities, "id", "left_semi")
+    return traverse_from(start, edges, depth, labels, limit, min_depth, ordered)
+
+
+def traverse_from(start: DataFrame, edges, depth: int, labels=(), limit: int | None = None, min_depth: int = 0, ordered: bool = False) -> DataFrame:
+    """The same from rows (request_id, id) of known entities."""
     e = edges.where(F.col("label").isin(*labels)) if labels else edges
     e = e.select(F.col("source").alias("_s"), F.col("target").alias("_t"))
     path = ordered or limit is not None
-    start = requests.select("request_id", F.col("start_id").alias("id")).join(entities, "id", "left_semi")
     level = start.select("request_id", "id", *([F.array("id").alias("path")] if path else [])).distinct()
 
     def hop(f: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from geoweft.operators import blobs as B
 from geoweft.operators import edges as E
 from geoweft.operators import lookup, search, spatial, stats
-from geoweft.operators.traverse import traverse_batch
+from geoweft.operators.traverse import traverse_batch, traverse_from
 from geoweft.schema import CODEC_ALL, LABEL_MASK, TABLES, BadRequest, BlobNotFound, EntityNotFound
 
 
@@ -56,10 +56,12 @@ class Graph:
         self.properties.write.mode("overwrite").parquet(f"{path}/property")
         self.blobs.write.mode("overwrite").parquet(f"{path}/blob")
 
-    def persist(self) -> Graph:
-        """Keep the resolved tables; they spill to disk beyond memory."""
-        for name in ("entities", "edges", "positions"):
-            setattr(self, name, getattr(self, name).persist(StorageLevel.MEMORY_AND_DISK))
+    def persist(self, *more: str) -> Graph:
+        """Keep the resolved tables (and others by name); they spill to disk beyond memory. Positions
+        are laid out by cell, so that the statistics of cached batches skip what lies outside a viewport."""
+        self.__dict__["positions"] = self.cells.repartitionByRange("gy", "gx").sortWithinPartitions("gy", "gx").select("entity_id", "x", "y")
+        for name in ("entities", "edges", "positions", *more):
+            self.__dict__[name] = getattr(self, name).persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
     @cached_property
@@ -91,18 +93,18 @@ class Graph:
     def has_entity(self, entity_id: int) -> bool:
         return not self.entities.where(F.col("id") == int(entity_id)).isEmpty()
 
-    def get_entities(self, ids: DataFrame, properties: bool = False, blobs: bool = False) -> DataFrame:
+    def get_entities(self, ids: DataFrame | list[int], properties: bool = False, blobs: bool = False) -> DataFrame:
         return lookup.get_entities(self.entities, self.properties, self.blobs, ids, properties, blobs)
 
     def get_entity(self, entity_id: int, properties: bool = False, blobs: bool = False) -> DataFrame:
         if not self.has_entity(entity_id):
             raise EntityNotFound(entity_id)
-        return self.get_entities(self._ids(entity_id), properties, blobs)
+        return self.get_entities([int(entity_id)], properties, blobs)
 
     def position(self, entity_id: int) -> DataFrame:
         return self.positions.where(F.col("entity_id") == int(entity_id))
 
-    def positions_of(self, ids: DataFrame) -> DataFrame:
+    def positions_of(self, ids: DataFrame | list[int]) -> DataFrame:
         return lookup.positions_of(self.positions, ids)
 
     def get_edges_batch(self, requests: DataFrame, limit_mode: str = "scanned", most: int | None = None) -> DataFrame:
@@ -132,8 +134,9 @@ class Graph:
         return traverse_batch(self.entities, self.edges, requests, depth, labels, limit, **kw)
 
     def traverse(self, start: int, depth: int, labels=(), limit: int | None = None, **kw) -> DataFrame:
-        req = self.spark.createDataFrame([(0, int(start))], "request_id long, start_id long")
-        return self.traverse_batch(req, depth, labels, limit, **kw).drop("request_id")
+        _not_negative(depth=depth, limit=limit)
+        one = self.entities.where(F.col("id") == int(start)).select(F.lit(0).cast("long").alias("request_id"), "id")
+        return traverse_from(one, self.edges, depth, labels, limit, **kw).drop("request_id")
 
     def search_spatial(self, min_x, min_y, max_x, max_y, limit: int | None = None, ordered: bool = False) -> DataFrame:
         _not_negative(limit=limit)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+from functools import reduce
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +15,8 @@ from geoweft.operators import blobs as B
 from geoweft.operators import edges as E
 from geoweft.operators import lookup, spatial, stats, tiles
 from geoweft.plans.graph import Graph
-from geoweft.sources import mapping, synthetic
+from geoweft.plans.lineage import shared_dir
+from geoweft.sources import mapping, sinks, sqlite, synthetic
 
 REGION0, NATION3, CUSTOMER7 = 1_000_000_000, 2_000_000_003, 3_000_000_007
 VIEWPORTS = {"full": (-1, -1, 1, 1), "mid": (-0.5, -0.5, 0.5, 0.5), "small": (-0.25, -0.25, 0.25, 0.25), "ll": (-1, -1, 0, 0), "ur": (0, 0, 1, 1)}
@@ -144,7 +150,7 @@ _add("world_to_tile", f"WITH {_GRID} SELECT entity_id, gx, gy FROM cells")(lambd
 _add("grid_cell_counts", f"WITH {_GRID} SELECT gx, gy, count(*) AS n FROM cells GROUP BY 1, 2")(lambda g: spatial.grid_cell_counts(g.cells))
 _add("grid_offsets", f"WITH {_GRID}, c AS (SELECT gx, gy, count(*) AS n FROM cells GROUP BY 1, 2) SELECT gx, gy, n, coalesce(sum(n) OVER (ORDER BY gy, gx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c")(lambda g: spatial.grid_offsets(g.cells))
 _add("grid_metadata", f"WITH {_GRID} SELECT bits, (1 << bits)::INT AS grid_size, (SELECT count(*) FROM pos) AS len FROM b")(lambda g: g.positions.agg(F.count("*").alias("len")).select(F.lit(g.bits).alias("bits"), F.lit(1 << g.bits).alias("grid_size"), "len"))
-_add("cell_get", f"WITH {_GRID} SELECT entity_id FROM cells WHERE gx = 40 AND gy = 40")(lambda g: spatial.cell(g.cells, 40, 40).select("entity_id"))
+_add("cell_get", f"WITH {_GRID} SELECT entity_id FROM cells , b WHERE gx = (1 << bits) // 2 AND gy = (1 << bits) // 2")(lambda g: spatial.cell(g.cells, 1 << (g.bits - 1), 1 << (g.bits - 1)).select("entity_id"))
 for _name, _b in VIEWPORTS.items():
     _add(f"spatial_{_name}", f"WITH {_POS} SELECT entity_id AS id FROM pos WHERE x >= {_b[0]}::FLOAT AND x <= {_b[2]}::FLOAT AND y >= {_b[1]}::FLOAT AND y <= {_b[3]}::FLOAT")(lambda g, b=_b: g.search_spatial(*b))
 _add("spatial_limit_lod", f"WITH {_GRID} SELECT entity_id AS id FROM cells ORDER BY gy >> 1, gx >> 1, gy, gx, entity_id LIMIT 100")(lambda g: g.search_spatial(-1, -1, 1, 1, limit=100))
@@ -176,17 +182,10 @@ _add("blob_byte_range", f"SELECT {_DOC3} AS hash, substr(hex(encode(text)), 201,
 _add("codec_contains", "SELECT c::INT AS codecs, w::INT AS wanted, (c & w) <> 0 AS contains FROM range(0, 8) t(c), range(1, 8) u(w)")(lambda g: g.spark.range(56).select((F.col("id") % 8).cast("int").alias("codecs"), (F.floor(F.col("id") / 8) + 1).cast("int").alias("wanted")).withColumn("contains", S.codec_contains("codecs", F.col("wanted"))))
 
 
-@_add("pointer_pack_unpack", "SELECT e.event_id AS \"index\", (event_id % 65536)::BIGINT AS epoch, (event_id % 256)::BIGINT AS storage, (event_id | ((event_id % 65536) << 40) | ((event_id % 256) << 56)::BIGINT)::BIGINT AS packed FROM events e WHERE event_id % 256 < 128")
+# The storage byte is the signed top of the long; the parts share no bits, so they add up.
+@_add("pointer_pack_unpack", "SELECT e.event_id AS \"index\", (event_id % 65536)::BIGINT AS epoch, (event_id % 256)::BIGINT AS storage, (event_id + (event_id % 65536) * 1099511627776 + (CASE WHEN event_id % 256 < 128 THEN event_id % 256 ELSE event_id % 256 - 256 END) * 72057594037927936)::BIGINT AS packed FROM events e")
 def _(g: Graph) -> DataFrame:
-    return _pointers(g.spark.read.parquet(f"{g.sf_dir}/events.parquet").where(F.col("event_id") % 256 < 128))
-
-
-# The SQL above covers storage bytes under 128 only; all of them have a query without SQL.
-_add("pointer_pack_unpack_all")(lambda g: _pointers(g.spark.read.parquet(f"{g.sf_dir}/events.parquet")))
-
-
-def _pointers(e: DataFrame) -> DataFrame:
-    p = e.select(S.pack_pointer("event_id", F.col("event_id") % 65536, F.col("event_id") % 256).alias("packed"))
+    p = g.spark.read.parquet(f"{g.sf_dir}/events.parquet").select(S.pack_pointer("event_id", F.col("event_id") % 65536, F.col("event_id") % 256).alias("packed"))
     u = S.unpack_pointer("packed")
     return p.select(*[u[k].alias(k) for k in ("index", "epoch", "storage")], "packed")
 
@@ -232,12 +231,91 @@ def _(g: Graph) -> DataFrame:
     return tiles.decode(tiles.encode(t)).select("tx", "ty", "layer", "codec", "node_count", "edge_count", F.col("payload").cast("string").alias("payload"))
 
 
-def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = synthetic.graph(spark, "1K")
-    return g.edges.select("source", "target", "label")
+# Dangling copies of every edge and position beside the real ones: none of them may stay.
+_FAR = 10**15
+
+
+def _dangling(g: Graph) -> Graph:
+    far = lambda c: (F.col(c) + F.lit(_FAR)).alias(c)
+    e = g.raw_edges.unionByName(g.raw_edges.select("id", far("source"), "target", "label")).unionByName(g.raw_edges.select("id", "source", far("target"), "label"))
+    return Graph(g.entities, e, g.positions.unionByName(g.positions.select(far("entity_id"), "x", "y")), g.properties, g.blobs)
+
+
+_add("dangling_edges_dropped", f"WITH {_EDGE} SELECT id, source, target, label FROM edge")(lambda g: _dangling(g).edges)
+_add("dangling_positions_dropped", f"WITH {_POS} SELECT entity_id, x, y FROM pos")(lambda g: _dangling(g).positions)
+_add("adjacency", f"WITH {_EDGE} SELECT id, source, target, label FROM edge")(lambda g: E.adjacency(g.edges, "target"))
+_add("bfs_depth4", _bfs_sql(_START, 4, "label IN (1, 2, 4, 5)"))(lambda g: g.traverse(REGION0, 4, [1, 2, 4, 5]))
+_add("bfs_ordered", _bfs_sql(_START, 2, "true", "SELECT id, depth, (row_number() OVER (ORDER BY k))::INT AS ord FROM best"))(lambda g: g.traverse(REGION0, 2, ordered=True))
+_add("edges_batch_unlimited", f"WITH {_EDGE}, req(request_id, entity_id, direction, labels) AS (VALUES {', '.join(f'({r}, {e}::BIGINT, {d!r}, {lb}::INT[])' for r, e, d, lb, _ in _REQ)}) SELECT request_id::BIGINT AS request_id, side, id, source, target, label FROM (SELECT request_id, 0 AS side, edge.*, labels FROM edge JOIN req ON source = entity_id WHERE direction IN ('outgoing', 'both') UNION ALL SELECT request_id, 1, edge.*, labels FROM edge JOIN req ON target = entity_id WHERE direction IN ('incoming', 'both')) WHERE {_PASS}")(lambda g: g.get_edges_batch(_requests(g, [(*r[:4], None) for r in _REQ], "request_id long, entity_id long, direction string, labels array<int>, limit int")).drop("rn"))
+_add("position_get", f"WITH {_POS} SELECT entity_id, x, y FROM pos WHERE entity_id = {CUSTOMER7}")(lambda g: g.position(CUSTOMER7))
+_add("known_entities", f"WITH {_ENTITY} SELECT i AS id, i IN (SELECT id FROM entity) AS known FROM (VALUES {', '.join(f'({i}::BIGINT)' for i in _IDS)}) t(i)")(lambda g: lookup.known(g.entities, g._ids(*_IDS)))
+_COUNTS = f"WITH {_ENTITY}, {_EDGE} SELECT %s(SELECT count(*) FROM entity) AS entities, (SELECT count(*) FROM edge) AS edges, %s(SELECT coalesce(sum(strlen(text)), 0)::BIGINT FROM documents) AS blob_bytes%s"
+_add("hello", _COUNTS % ("", "", ", 7 AS supported_codecs"))(lambda g: g.hello())
+_add("health", _COUNTS % ("true AS ok, ", "(SELECT count(*) FROM documents) AS blobs, ", ""))(lambda g: g.health())
+_add("blob_last_chunk", f"SELECT {_HASH} AS hash, ((strlen(text) - 1) // {SMALL_CHUNK} * {SMALL_CHUNK})::BIGINT AS \"offset\", strlen(text)::BIGINT AS total_size, substr(hex(encode(text)), (2 * ((strlen(text) - 1) // {SMALL_CHUNK} * {SMALL_CHUNK}) + 1)::BIGINT, {2 * SMALL_CHUNK}) AS data FROM (SELECT DISTINCT text FROM documents WHERE strlen(text) > 0)")(lambda g: B.chunks(B.distinct_blobs(g.blobs, "size_bytes", "data"), 0, SMALL_CHUNK, last=True).withColumn("data", F.hex("data")))
+_add("blob_whole", f"SELECT {_DOC3} AS hash, hex(encode(text)) AS data FROM documents WHERE doc_id = 3")(lambda g: g.get_blob(_hash_of(g, 8_000_000_003)).select("hash", F.hex("data").alias("data")))
+_add("hash_render", f"SELECT 8000000000 + doc_id AS entity_id, lower(printf('%x', {_HASH})) AS hash FROM documents")(lambda g: g.blobs.select("entity_id", S.hash_hex("hash").alias("hash")))
+
+
+def _events(g: Graph) -> DataFrame:
+    return g.spark.read.parquet(f"{g.sf_dir}/events.parquet")
 
 
-Q["synthetic_graph"] = _synthetic
+_add("csv_fields", "SELECT event_id, CASE WHEN regexp_matches(props, '[,\"\n]') THEN '\"' || replace(props, '\"', '\"\"') || '\"' ELSE props END AS field FROM events")(lambda g: _events(g).select("event_id", S.csv_field("props").alias("field")))
+_NS = "(abs(value) + 0.001) * pow(10, event_id % 11)"
+_add("duration_texts", f"SELECT event_id, CASE WHEN n >= 1e9 THEN printf('%.2f s', n / 1e9) WHEN n >= 1e6 THEN printf('%.2f ms', n / 1e6) WHEN n >= 1e3 THEN printf('%.2f μs', n / 1e3) ELSE printf('%.0f ns', n) END AS duration FROM (SELECT event_id, {_NS} AS n FROM events)")(lambda g: _events(g).select("event_id", S.duration_text(F.expr(_NS)).alias("duration")))
+_LABELS = ["entity_get_5", "spatial_[-1.00_-1.00_1.00_1.00]", "spatial_[-0.50_-0.50_0.50_0.50]", "spatial_[0.00_0.00_1.00_1.00]", "spatial_x", "bfs_depth2_from_7", "full_scan", "another_operation_of_a_long_name"]
+_NAMES = ["Entity get (hot)", "Spatial [full]", "Spatial [mid]", "Spatial [UR]", "Spatial query", "BFS depth=2", "Full scan", "another_operation_of_a_long_name"[:21]]
+_add("operation_names", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_LABELS, _NAMES, strict=True)) + ") t(label, name)")(lambda g: _requests(g, [(x,) for x in _LABELS], "label string").select("label", S.op_name(S.op_key("label")).alias("name")))
+_SCALE = f"SELECT user_id % 3 AS scale, event_type AS label, {_STATS} FROM events GROUP BY 1, 2"
+_BYSCALE = ["scale", *_OPS]
+_add("latency_by_scale", _round_sql(f"SELECT scale, label AS op_key, avg(mean_ns) AS mean_ns, avg(p95_ns) AS p95_ns, avg(p99_ns) AS p99_ns, count(*) AS sample_count FROM ({_SCALE}) GROUP BY 1, 2", _OPS[1:4], _BYSCALE))(lambda g: _rounded(stats.by_operation(stats.latency_stats(_events(g).select((F.col("user_id") % 3).alias("scale"), F.col("event_type").alias("label"), F.col("value").alias("ns")), ["scale", "label"]), ("scale",)), _OPS[1:4]))
+
+
+def _sqlite(g: Graph) -> Graph:
+    """The whole graph written to one file in the shared folder, and read from there."""
+    place = urlparse(shared_dir(g.spark))
+    if place.scheme not in ("", "file"):
+        raise ValueError(f"a SQLite file needs a mounted folder, not {place.scheme}")
+    path = f"{place.path}/cut-{uuid.uuid4().hex}.db"
+    sqlite.write_file(g, path)
+    return Graph.from_sqlite(g.spark, path)
+
+
+_add("sqlite_edges", f"WITH {_EDGE} SELECT id, source, target, label FROM edge")(lambda g: _sqlite(g).edges)
+_add("sqlite_properties", f"WITH {_PROP} SELECT entity_id, key, value_type, value_int, value_float, value_text FROM prop")(lambda g: _sqlite(g).properties)
+_add("sqlite_positions", f"WITH {_POS} SELECT entity_id, x, y FROM pos")(lambda g: _sqlite(g).positions)
+
+
+def _csv(g: Graph) -> tuple[DataFrame, DataFrame]:
+    path = f"{shared_dir(g.spark)}/cut-{uuid.uuid4().hex}"
+    kind = (F.col("entity_id") / mapping.KIND_BASE).cast("int")
+    sinks.write_graph_csv(g.positions.select(F.col("entity_id").alias("id"), "x", "y", kind.alias("cluster")), g.edges, path)
+    return sinks.read_graph_csv(g.spark, path)
+
+
+_add("csv_nodes", f"WITH {_POS} SELECT entity_id AS id, printf('%.6f', x::DOUBLE)::DOUBLE AS x, printf('%.6f', y::DOUBLE)::DOUBLE AS y, (entity_id // 1000000000)::INT AS cluster FROM pos")(lambda g: _csv(g)[0])
+_add("csv_edges", f"WITH {_EDGE} SELECT source, target, 'CONNECTS' AS type FROM edge")(lambda g: _csv(g)[1])
+
+
+@_add("synthetic_graph", "SELECT scale, n AS nodes, 0 AS loops, 0 AS unknown_ends, 0 AS outside, true AS enough_edges, true AS most_in_cluster, true AS around_centres FROM (VALUES ('1K', 1000::BIGINT), ('10K', 10000), ('100K', 100000)) t(scale, n)")
+def _(g: Graph) -> DataFrame:
+    """What the generator promises, counted on three presets (every draw is a hash, so SQL can't repeat the rows)."""
+    rows = []
+    for scale in ("1K", "10K", "100K"):
+        n, degree, clusters, _shape = synthetic.PRESETS[scale]
+        s = synthetic.graph(g.spark, scale)
+        own = (F.col("source") % clusters) == (F.col("target") % clusters)
+        e = s.edges.agg(
+            F.sum((F.col("source") == F.col("target")).cast("int")).cast("int").alias("loops"), F.sum((~F.col("target").between(0, n - 1) | ~F.col("source").between(0, n - 1)).cast("int")).cast("int").alias("unknown_ends"),
+            F.count("*").between(n * degree // 2, n * degree).alias("enough_edges"), (F.avg(own.cast("int")) > synthetic.SAME_CLUSTER - 0.05).alias("most_in_cluster"),
+        )
+        at = synthetic.nodes(g.spark, n, clusters)
+        angle = F.col("cluster") * F.lit(2 * math.pi / clusters)
+        off = F.greatest(F.abs(F.col("x") - synthetic.RADIUS * F.cos(angle)), F.abs(F.col("y") - synthetic.RADIUS * F.sin(angle)))
+        v = at.agg(F.count("*").alias("nodes"), F.sum(((F.abs("x") > 1) | (F.abs("y") > 1)).cast("int")).cast("int").alias("outside"), (F.max(off) <= synthetic.SPREAD + 1e-6).alias("around_centres"))
+        rows.append(v.select(F.lit(scale).alias("scale"), "*").join(F.broadcast(e)))  # one row each
+    return reduce(DataFrame.unionByName, rows).select("scale", "nodes", "loops", "unknown_ends", "outside", "enough_edges", "most_in_cluster", "around_centres")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

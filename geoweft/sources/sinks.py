@@ -24,6 +24,12 @@ def write_graph_csv(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     e.write.mode("overwrite").option("header", True).csv(f"{path}/edges")
 
 
+def read_graph_csv(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, x, y, cluster) and edges (source, target, type) of what write_graph_csv wrote."""
+    n = spark.read.option("header", True).schema("id long, x double, y double, cluster int").csv(f"{path}/nodes")
+    return n, spark.read.option("header", True).schema("source long, target long, type string").csv(f"{path}/edges")
+
+
 def write_report_csv(report: DataFrame, path: str) -> None:
     report.select(*REPORT_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

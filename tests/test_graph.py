@@ -210,13 +210,101 @@ def test_streamed_requests(spark, tmp_path, multi):
 
 
 def test_all_pointers(spark):
-    from geoweft.queries import SQL, Q
+    from geoweft.queries import Q
 
-    rows = Q["pointer_pack_unpack_all"](spark, "/root/testdata/sf0.001").collect()
+    rows = Q["pointer_pack_unpack"](spark, "/root/testdata/sf0.001").collect()
     ids = [x.event_id for x in spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id").collect()]
     want = []
     for i in ids:
         raw = (i & ((1 << 40) - 1)) | (i % 65536) << 40 | (i % 256) << 56
         want.append((i, i % 65536, i % 256, raw - (1 << 64) if raw >> 63 else raw))
     assert sorted(map(tuple, rows)) == sorted(want) and any(x.packed < 0 for x in rows)
-    assert "pointer_pack_unpack_all" not in SQL
+
+
+def test_hub_edges_are_ranked_in_parts(spark):
+    """A hub with a limit, none, and a literal bound; no task ranks all its edges."""
+    n = 20_000
+    edges = spark.range(n).selectExpr("id", "cast(7 as long) as source", "id % 5000 as target", "cast(id % 3 as int) as label")
+    schema = "request_id long, entity_id long, direction string, labels array<int>, limit int"
+    want = sorted(((i % 5000, i) for i in range(n)))
+    req = spark.createDataFrame([(1, 7, "outgoing", [], 9), (2, 7, "both", [1], None), (3, 8, "outgoing", [], 5)], schema)
+    for most in (None, 9):
+        got = E.get_edges_batch(edges, req, most=most)
+        rows = got.collect()
+        assert [(x.target, x.id) for x in sorted((x for x in rows if x.request_id == 1), key=lambda x: x.rn)] == want[:9]
+        free = [x for x in rows if x.request_id == 2]
+        assert len([x for x in free if x.side == 0]) == sum(i % 3 == 1 for i in range(n)) and all(x.rn is None for x in free)
+    plan = E.get_edges_batch(edges, req.where("limit is not null"), most=9)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+    # the parts of the first ranking
+    parts = edges.groupBy(S.F.pmod(S.F.xxhash64("id"), S.F.lit(E.SALTS))).count().collect()
+    assert len(parts) == E.SALTS and max(x["count"] for x in parts) < n / 20
+
+
+def test_percentiles_of_large_groups(spark):
+    """Brackets hold the exact nearest rank: heavy ties, outliers and continuous values."""
+    r = random.Random(4)
+    vals = {"ties": [float(r.choice([1, 2, 2, 2, 3, 1000])) for _ in range(30_000)], "spread": [r.random() ** 9 * 1e9 for _ in range(25_000)], "same": [5.0] * 12_000, "few": [3.0, 1.0, 2.0], None: [1.0, 2.0]}
+    s = spark.createDataFrame([(k, v) for k, x in vals.items() for v in x] + [("few", None)], "label string, ns double")
+    got = {x.label: x for x in stats.latency_stats(s, ["label"]).collect()}
+    assert len(got) == len(vals)
+    for k, x in vals.items():
+        x = sorted(x)
+        for name, p in stats.PERCENTILES.items():
+            rank = int(p * (len(x) - 1) + 0.5)
+            assert got[k][name] == x[rank], (k, name)
+        assert got[k].sample_count == len(x)
+
+
+def test_viewports_by_size(spark, monkeypatch):
+    """Small, middle and whole-world requests, broadcast and shuffled, against a scan."""
+    r = random.Random(8)
+    pts = [(i, spatial.f32(r.uniform(-1.3, 1.3)), spatial.f32(r.gauss(0, 0.1))) for i in range(1500)] + [(1500, float("nan"), 0.0)]
+    g = build(spark, range(1501), [], pts)
+    rects = []
+    for i in range(60):
+        x, y, w = r.uniform(-1.2, 1.2), r.uniform(-0.3, 0.3), r.choice([0.001, 0.02, 0.3, 3.0])
+        rects.append((i, spatial.f32(x), spatial.f32(y), spatial.f32(x + w), spatial.f32(y + w)))
+    rects += [(99, 1.0, 0.0, 0.0, 1.0), (98, float("nan"), 0.0, 1.0, 1.0), (97, -9.0, -9.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rects, "request_id long, min_x double, min_y double, max_x double, max_y double")
+    want = sorted((i, e) for i, a, b, c, d in rects for e, x, y in pts if a <= x <= c and b <= y <= d)
+    assert sorted(map(tuple, g.search_spatial_batch(df).collect())) == want
+    monkeypatch.setattr(spatial, "broadcast_if_small", lambda df, _: df)
+    assert sorted(map(tuple, g.search_spatial_batch(df).collect())) == want
+
+
+def test_requests_out_of_range(spark):
+    from geoweft.schema import BadRequest
+
+    g = build(spark, [1], [])
+    for call in (lambda: g.traverse(1, -1), lambda: g.traverse(1, 1, limit=-1), lambda: g.edge_page(-1, 1), lambda: g.get_edges(1, limit=-2), lambda: g.search_spatial(0, 0, 1, 1, -1), lambda: g.blob_chunks(1, -1), lambda: g.get_edges(1, "up")):
+        with pytest.raises(BadRequest):
+            call()
+
+
+def test_last_chunk_and_snapshots(spark):
+    data = bytes(range(256)) * 5
+    g = build(spark, [1], [], blobs=[(1, "k", 9, None, len(data), data), (1, "n", 10, "", 5, None)])
+    for offset, size in ((0, 500), (100, 64), (1279, 9), (0, 1280)):
+        every = g.blob_chunks(9, offset, size).orderBy("offset").collect()
+        assert g.last_chunk(9, offset, size).collect() == every[-1:]
+    assert g.last_chunk(9, 1280).count() == 0 and g.last_chunk(10).count() == 0
+    assert g.hello().first().asDict() == {"entities": 1, "edges": 0, "blob_bytes": 1285, "supported_codecs": 7}
+    assert g.health().first().ok and not g.is_loaded() and g.persist().is_loaded()
+
+
+def test_shared_folder(spark, tmp_path):
+    from geoweft.plans import lineage
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(Cluster)
+    lineage.cut(spark.range(3)).count()
+    assert lineage.sweep(spark, 3600) == [] or all(x.startswith(lineage.PREFIXES) for x in lineage.sweep(spark, 3600))
