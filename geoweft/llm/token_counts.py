@@ -3,19 +3,24 @@
 A batch of changes (inserts, deletes, revised counts) is combined into signed sums by source,
 language and tokenizer version, and committed once: the batch's directory is renamed into
 place, and a batch id that exists already is skipped, so a replay adds nothing. Totals are the
-sums of all committed batches; ``compact`` folds them into one. One writer commits at a time.
+sums of all committed batches; ``compact`` folds them into one and removes what it folded. One
+writer commits at a time. Tokenizer versions are patterns, counted by Spark itself, or tokenizer
+files, counted by the encoder of this subpackage.
 
 Null sources and languages are keys of their own. Null texts have no tokens but count as
-documents. Repeated rows count as often as they occur. Documents' rows are combined before any
-shuffle, so a hot source costs no more than another.
+documents. Repeated rows count as often as they occur. An empty table gives no totals. Very long
+texts are counted whole; other columns, whatever their names, are not read. Documents' rows
+are combined before any shuffle, so a hot source costs no more than another.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoweft.plans.lineage import cut, shared_dir
 
@@ -96,25 +101,54 @@ class TokenRollup:
         return t.where("documents <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all batches into a new base; ids stay known. The list of ids is written first."""
-        ids = [b for b in self.committed() if not b.startswith("base-")]
-        name = f"base-{len([b for b in self.committed() if b.startswith('base-')]):06d}"
+        """Fold all batches into a new base; ids stay known. The list of ids is written first, and
+        what is folded goes last: a failure on the way leaves totals as they were."""
+        before = self.committed()
+        ids = [b for b in before if not b.startswith("base-")]
+        bases = [b for b in before if b.startswith("base-")]
+        name = f"base-{int(bases[-1].partition('-')[2]) + 1 if bases else 0:06d}"
         known = sorted(self._folded() | set(ids))
         self.spark.createDataFrame([(b,) for b in known], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/folded/{name}")
         staged = f"{self.path}/staged/{uuid.uuid4().hex}"
         self.totals().write.parquet(staged)
-        self._fs.rename(self._path(staged), self._path(self._at(name)))
+        if not self._fs.rename(self._path(staged), self._path(self._at(name))):
+            raise OSError(f"{name} can't be committed")
+        for b in before:
+            self._fs.delete(self._path(self._at(b)), True)
+        for b in bases:
+            self._fs.delete(self._path(f"{self.path}/folded/{b}"), True)
 
 
-def corpus_changes(docs: DataFrame) -> dict[str, DataFrame]:
+def with_file_counts(docs: DataFrame, files: dict[str, str]) -> DataFrame:
+    """``docs`` with a column of token counts for each tokenizer file (version name to path)."""
+    from geoweft.llm.bpe import tokenizer
+    from geoweft.llm.textkit import pick, small_batches
+
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(v, T.LongType()) for v in files]])
+
+    def run(batches):
+        for batch in batches:
+            texts = pick(batch, "text").to_pylist()
+            counts = [pa.array([n for block in tokenizer(p).blocks(texts) for n in block.counts().tolist()], pa.int64()) for p in files.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *counts], schema.names)
+
+    return small_batches(docs).mapInArrow(run, schema)
+
+
+def corpus_changes(docs: DataFrame, files: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """The change log of a corpus: estimated inserts, exact revisions, and deletes of exact copies.
 
-    Each text is read and counted once; only counts and a digest are kept.
+    Each text is read and counted once; only counts and a digest are kept. ``files`` adds
+    tokenizer versions by name and path.
     """
-    versions = list(PATTERNS)
+    versions, files = [*PATTERNS, *(files or {})], files or {}
+    docs = docs.select("doc_id", "source", "lang", F.col("text").cast("string").alias("text"))
+    if files:
+        docs = with_file_counts(docs, files)
+    count = lambda v: F.coalesce(F.col(v), F.lit(0).cast("long")) if v in files else count_tokens(F.col("text"), v)
     one = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
-        F.md5(F.encode("text", "UTF-8")).alias("digest"), estimate(F.col("text")).alias("estimated"), *[count_tokens(F.col("text"), v).alias(v) for v in versions],
+        F.md5(F.encode("text", "UTF-8")).alias("digest"), estimate(F.col("text")).alias("estimated"), *[count(v).alias(v) for v in versions],
     )
     one = cut(one)
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(v).alias("tokens")) for v in versions])).alias("v")
@@ -131,11 +165,11 @@ def corpus_changes(docs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def corpus_totals(docs: DataFrame, path: str | None = None) -> DataFrame:
+def corpus_totals(docs: DataFrame, path: str | None = None, files: dict[str, str] | None = None) -> DataFrame:
     """Maintain totals over a corpus: three batches, one of them replayed, then a compaction."""
     spark = docs.sparkSession
     rollup = TokenRollup(spark, path or f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    changes = corpus_changes(docs)
+    changes = corpus_changes(docs, files)
     for name in ("ingest", "revise", "revise", "dedup"):
         rollup.commit(name, changes[name])
     rollup.compact()
