@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from geoweft.llm.textkit import U64, give_back, hash_spans, pick
+from geoweft.llm.textkit import U64, give_back, hash_spans, pick, small_batches
 
 #: Pieces whose ids a worker keeps; beyond it the table starts anew.
 CACHE_PIECES = 1 << 19
@@ -164,6 +164,10 @@ class Encoded:
     def __len__(self):
         return len(self.cuts) - 1
 
+    def counts(self) -> np.ndarray:
+        """Ids of each text."""
+        return np.diff(self.ends)
+
 
 class WordBpe:
     def __init__(self, path: str):
@@ -382,13 +386,13 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             n, a, b = [], [], []
             for block in bpe.blocks(pick(batch, text_col).to_pylist()):
-                n += np.diff(block.ends).tolist()
+                n += block.counts().tolist()
                 for ids, form in bpe.show(block):
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(form).hexdigest())
             yield pa.RecordBatch.from_arrays([pick(batch, id_col).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, RESULT)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, RESULT)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,4 +407,4 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 out += [form.decode() for _, form in bpe.show(block)]
             yield pa.RecordBatch.from_arrays([pick(batch, id_col).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

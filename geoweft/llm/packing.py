@@ -4,8 +4,9 @@ Each document (its ids plus one end id) is first cut into full windows; what is
 packed by best-fit decreasing within groups of at most ``GROUP_PIECES`` pieces. A segment tree
 indexed by remaining capacity finds the tightest open window.
 
-Null and empty texts are one piece with the end id only. Repeated rows are packed as often as
-they occur. A sequence holds at most ``window`` tokens; each token lies in exactly one piece.
+Null and empty texts are one piece with the end id only; null ids stay null; an empty table has no
+pieces. A very long text is encoded whole. Repeated rows are packed as often as they occur;
+pieces of equal length go by id and start. Other columns, whatever their names, are not read. A sequence holds at most ``window`` tokens; each token lies in exactly one piece.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.llm.bpe import tokenizer
-from geoweft.llm.textkit import pick
+from geoweft.llm.textkit import pick, small_batches
 from geoweft.plans.lineage import cut
 
 #: Pieces packed together by one task.
@@ -93,7 +94,7 @@ def pieces(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2) -> DataFrame:

@@ -10,7 +10,9 @@ Rules of a line that has a word (all counts are of whole lines of whole texts):
 A document is rejected if the base rules reject it (fewer than ten words, or more than a fifth
 of its words in five-word windows that occur twice), or if the removed lines hold more than
 ``most_lost`` percent of its word characters. Null texts are empty and rejected. Documents are
-judged one by one: repeated rows get the same result, null ids stay null, nothing is shuffled.
+judged one by one: repeated rows get the same result, null ids stay null, nothing is shuffled; an
+empty table gives no rows. A very long text is read whole. Other columns play no part, and stay
+as they are in ``clean_documents``.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from geoweft.llm.textkit import blocks, hash_spans, mix, ngram_hash, per_row, pick, utf8, word_spans
+from geoweft.llm.textkit import blocks, hash_spans, mix, ngram_hash, per_row, pick, small_batches, utf8, word_spans
 from geoweft.llm.textkit import LOWER, U64
 
 # Boilerplate phrases.
@@ -136,7 +138,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
                     cols.append(pa.array(_cleaned(part, b - a, m), pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *names, *(["text"] if with_text else [])])
 
-    return docs.select(id_col, text_col).mapInArrow(run, RESULT + (", text string" if with_text else ""))
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, RESULT + (", text string" if with_text else ""))
 
 
 def clean_documents(docs: DataFrame, **kw) -> DataFrame:
@@ -153,9 +155,10 @@ def clean_documents(docs: DataFrame, **kw) -> DataFrame:
                 texts = pa.array(_cleaned(part, b - a, m), pa.string()).filter(stay)
                 rows = batch.slice(a, b - a).filter(stay)
                 new = {"text": texts, "n_chars": pa.array([len(t) for t in texts.to_pylist()], pa.int64())}
+                new = {c: v.cast(rows.schema.field(c).type) for c, v in new.items() if c in names}
                 yield pa.RecordBatch.from_arrays([new.get(c, rows.column(i)) for i, c in enumerate(names)], names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def oracle_sql() -> str:

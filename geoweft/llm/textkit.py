@@ -18,7 +18,7 @@ U64 = np.uint64
 #: Bytes of text handled at a time.
 BLOCK_BYTES = 2 << 20
 #: Rows with texts that cross to Python at a time.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,10 +37,12 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """The same frame; whole texts cross to Python in batches of BATCH_ROWS rows at most, as their size is open."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
+    """The same frame; whole texts, whose size is open, cross to Python in batches of BATCH_ROWS rows and BATCH_BYTES at most."""
+    conf = df.sparkSession.conf
+    for key, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{key}PerBatch"
+        if not 0 < int(conf.get(key).rstrip("bB")) <= most:
+            conf.set(key, most)
     return df
 
 

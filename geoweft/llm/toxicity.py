@@ -10,7 +10,9 @@ Training takes a bounded sample of labelled rows (``MAX_POSITIVE`` and ``MAX_NEG
 documents, those of the smallest id hash) from the training folds. Nothing but the text enters
 a score. Null and empty texts, and texts without letters, get the score of an empty window.
 Without labels of both kinds every score is the share of positives. Rows are scored one by
-one; repeated rows and null ids give a result each (a null id is in no label row).
+one; repeated rows and null ids give a result each (a null id is in no label row); an empty
+table gives no rows. A very long text is scored by all its windows, CHUNK at a time. Columns
+other than id and text, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.textkit import LOWER, U64, blocks, hash_spans, mix, pick, run_spans, utf8
+from geoweft.llm.textkit import LOWER, U64, blocks, hash_spans, mix, pick, run_spans, small_batches, utf8
 
 #: Bounded training sample, and its share kept for calibration.
 MAX_POSITIVE, MAX_NEGATIVE, CALIBRATION = 1500, 2500, 0.2
@@ -325,7 +327,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 mine = ids.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([mine, pa.array(fold(mine.to_pylist()) == HELD_OUT), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, RESULT)
 
 
 def drop_toxic(docs: DataFrame, net: Network, cut: float = CUT) -> DataFrame:
@@ -339,4 +341,4 @@ def drop_toxic(docs: DataFrame, net: Network, cut: float = CUT) -> DataFrame:
             keep = [net.scores(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) < cut for a, b in blocks(offs)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
