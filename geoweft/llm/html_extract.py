@@ -10,10 +10,16 @@ comment is left out, and so is template, inside a main container too. Pages of a
 same main text count once there, and where template would take over half of a container, its
 pages are copies of each other and nothing of it is taken.
 
-Counting is combined before the shuffle, so a host with a third of all pages costs no more
-than others. Null and empty pages, and pages without content, have the empty text. Pages
-without a host form one host. A host's only page has no template. Malformed markup (missing
-end tags, stray ends) is read as a browser would, roughly. Repeated rows count once each.
+Trees are matched exactly, at any size and depth: equal subtrees share a number, so each pair of
+different shapes is matched once, and lists of children are aligned row by row in numpy.
+
+Counting is combined before the shuffle. Wrappers are broadcast while they are small; beyond
+BROADCAST_BYTES pages meet them by host, in parts of a host, so a host with a third of all pages
+costs no more than others. Null and empty pages, and pages without content, have the empty text;
+an empty table gives no rows. Pages without a host form one host. A host's only page has no
+template, and there class and id words decide alone. Malformed markup (missing end tags, stray
+ends) is read as a browser would, roughly. Repeated rows get the same text, null ids a row each.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,17 +28,18 @@ import re
 from collections import OrderedDict
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.textkit import pick
+from geoweft.llm.textkit import pick, small_batches
 from geoweft.plans.lineage import cut
 
 # Element classes of the markup language.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "canvas", "annotation", "annotation-xml"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "canvas", "button", "annotation", "annotation-xml"}
 #: Of these, an unclosed one takes the rest of the page, as in a browser.
 SWALLOW = {"script", "style", "textarea", "title"}
 INLINE = {
@@ -44,7 +51,7 @@ INLINE = {
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 BARRIER = {"ul", "ol", "dl", "table", "html", "body", "article", "div", "section", "main"}
 # What is not main text, by element, by role and by words of class and id.
-DROP_TAGS = {"nav", "aside", "footer", "form", "head", "button", "dialog", "menu", "fieldset"}
+DROP_TAGS = {"nav", "aside", "footer", "form", "head", "dialog", "menu", "fieldset"}
 DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 DROP_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
@@ -64,15 +71,50 @@ MIN_PAGES, SAME_SHARE = 3, 0.6
 SURE_PAGES = 5
 #: Share of link text above which a block outside an article is a menu.
 LINK_SHARE = 0.6
-#: Open elements beyond which blocks get no node; child pairs beyond which alignment is greedy.
-MAX_DEPTH, MAX_PAIRS = 120, 250_000
-#: Alignments kept per worker; they depend on the two block trees only.
-KEPT_ALIGNMENTS = 2000
-#: Wrappers are broadcast up to this size in bytes, else joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
+#: Alignments, and shapes of subtrees, kept per worker; they depend on the block trees only.
+KEPT_ALIGNMENTS, KEPT_SHAPES = 2000, 500_000
+#: Wrappers are broadcast up to this size in bytes, else joined by host and part.
+BROADCAST_BYTES, PARTS = 16 << 20, 32
+#: Cells of an alignment's table that are held at a time; larger ones are solved by halves.
+TABLE_CELLS = 4_000_000
+
+# A quote opens a value only after an equals sign; elsewhere (title=it's) it is a character like others.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))?+)*+)(?:>|$)", re.S)
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
+_NAMED = re.compile(r"(?:class|id|role)\s*=", re.I)
+_DRAWN = re.compile(r"<text(?=[\s>])[^>]*>(.*?)</text\s*>", re.S | re.I)
+_TAG = re.compile(r"<[^>]*>")
+
+
+#: How a class or id names a menu, comment or advert: by a part of it (ad-slot), or as a whole (ad).
+PART, WHOLE = 1, 2
+
+
+def attributes(text: str) -> tuple[set[str], str, str, list[str]]:
+    """Words of classes, role, id, and the classes of an element's attributes."""
+    words, role, ident, classes = set(), "", "", []
+    for name, a, b, c in _ATTR.findall(text):
+        name = name.lower()
+        if name in ("class", "id", "role"):
+            v = unescape(a or b or c).lower()
+            if name == "class":
+                classes = v.split()
+                words.update(re.findall(r"[a-z]+", v))
+            elif name == "id":
+                ident = v.strip()
+            else:
+                role = v.strip()
+    return words, role, ident, classes
+
+
+NO_ATTRIBUTES: tuple[frozenset, str, str, list] = (frozenset(), "", "", [])
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+
+def mark(names: list[str]) -> int:
+    if not MARKS.isdisjoint(names):
+        return WHOLE
+    ends = {p for n in names for p in (re.split(r"[-_]+", n)[0], re.split(r"[-_]+", n)[-1])}
+    return 0 if MARKS.isdisjoint(ends) else PART
 
 
 class Node:
@@ -80,7 +122,7 @@ class Node:
 
     __slots__ = ("tag", "words", "role", "items", "number", "marked")
 
-    def __init__(self, tag, words=frozenset(), role="", marked=False):
+    def __init__(self, tag, words=frozenset(), role="", marked=0):
         self.tag, self.words, self.role, self.items, self.number, self.marked = tag, words, role, [], -1, marked
 
     def blocks(self):
@@ -90,8 +132,8 @@ class Node:
         if self.tag in DROP_TAGS or self.role in DROP_ROLES or (self.tag == "header" and not inside_article):
             return True
         if inside_article:
-            return self.marked and self.tag not in ("html", "body", "main")
-        return bool(self.words & DROP_WORDS) and self.tag not in ("html", "body", "article", "main")
+            return self.marked == WHOLE and self.tag not in ("html", "body", "main")
+        return self.marked and self.tag not in ("html", "body", "article", "main")
 
     def hinted(self) -> bool:
         return bool(self.words & DROP_WORDS) and self.tag not in ("html", "body", "article", "main")
@@ -100,8 +142,8 @@ class Node:
 def parse(html: str) -> Node:
     """Block tree of a page; inline elements dissolve into the text of their block."""
     root = Node("#root")
-    stack: list[tuple[str, Node]] = [("#root", root)]  # open elements, and the block each writes to
-    links, hidden, at, n = 0, None, 0, len(html)
+    stack: list[tuple[str, Node]] = [("#root", root)]  # open elements, and the block each writes to (none: not shown)
+    links, at, n = 0, 0, len(html)
     buf: list[str] = []
     linked = 0
 
@@ -110,13 +152,13 @@ def parse(html: str) -> Node:
         if buf:
             text = " ".join("".join(buf).split())
             if text:
-                stack[-1][1].items.append((text, linked))
+                next(x for _, x in reversed(stack) if x is not None).items.append((text, linked))
             buf.clear()
         linked = 0
 
     def text(s: str):
         nonlocal linked
-        if s:
+        if s and stack[-1][1] is not None:
             s = unescape(s) if "&" in s else s
             buf.append(s)
             if links:
@@ -159,6 +201,9 @@ def parse(html: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             if not m[3].rstrip().endswith("/"):
+                if tag == "svg" and end:
+                    for drawn in _DRAWN.findall(html, at, end.start()):
+                        text(f" {_TAG.sub('', drawn)} ")
                 at = end.end() if end else n if tag in SWALLOW else at
             buf.append(" ")
             continue
@@ -169,37 +214,39 @@ def parse(html: str) -> Node:
             if tag == "hr":
                 flush()
             continue
+        words, role, ident, classes = attributes(m[3]) if _NAMED.search(m[3]) else NO_ATTRIBUTES
         if tag in INLINE:
             links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            shown = role not in DROP_ROLES and not (classes and mark(classes) == WHOLE)
+            stack.append((tag, stack[-1][1] if shown else None))
             continue
         # a block starts: it ends an open paragraph and siblings that it implies the end of
         flush()
+        again: list[tuple] = []  # inline elements that go on in the new block
         for i in range(len(stack) - 1, 0, -1):
             t = stack[i][0]
             if t == "p" or t in CLOSED_BY.get(tag, ()):
+                if t == "p":
+                    again = [x for x in stack[i + 1 :] if x[0] in INLINE]
                 pop(i)
                 if t == "p":
                     continue
             elif t in BARRIER:
                 break
-        if len(stack) > MAX_DEPTH:  # deeper blocks still split the text, but have no node
-            stack.append((tag, stack[-1][1]))
+        if stack[-1][1] is None:  # inside an inline element that isn't shown
+            stack.append((tag, None))
+            links += sum(t == "a" for t, _ in again)
+            stack.extend(again)
             continue
-        words, role, marked = set(), "", False
-        if m[3]:
-            for k, v in _ATTR.findall(m[3]):
-                v = unescape(v.strip("\"'")).lower()
-                if k.lower() == "role":
-                    role = v.strip()
-                elif k.lower() == "class" or tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):  # ids of headings are anchors
-                    words.update(re.findall(r"[a-z]+", v))
-                    marked = marked or not MARKS.isdisjoint(v.split())
-        node = Node(tag, frozenset(words), role, marked)
+        if ident and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):  # ids of headings are anchors
+            words = words | set(re.findall(r"[a-z]+", ident))
+            classes = [*classes, ident]
+        node = Node(tag, frozenset(words), role, mark(classes) if classes else 0)
         stack[-1][1].items.append(node)
         stack.append((tag, node))
+        links += sum(t == "a" for t, _ in again)
+        stack.extend((t, node if x is not None else None) for t, x in again)
     pop(1)
-    del hidden
     number = 0
     todo = [root]
     while todo:  # document order
@@ -214,68 +261,130 @@ def own_text(node: Node) -> str:
     return "\n".join(x[0] for x in node.items if not isinstance(x, Node))
 
 
-def skeleton(node: Node) -> tuple:
-    return (node.tag, tuple(sorted(node.words)), tuple(map(skeleton, node.blocks())))
-
-
-def _nodes(a: tuple) -> int:
-    return 1 + sum(map(_nodes, a[2]))
-
-
-def tree_match(a: tuple, b: tuple) -> tuple[int, list]:
-    """Simple tree matching of skeletons: size of the largest order-keeping top-down match, and its
-    child pairs as (i, j, nested pairs)."""
-    if a[0] != b[0] or a[1] != b[1]:
-        return 0, []
-    x, y = a[2], b[2]
-    head = []
-    while len(head) < min(len(x), len(y)) and x[len(head)] == y[len(head)]:  # equal children match best with each other
-        i = len(head)
-        head.append((i, i, tree_match(x[i], y[i])[1] if x[i][2] else []))
-    base, shift = 1 + sum(map(_nodes, x[: len(head)])), len(head)
-    x, y = x[shift:], y[shift:]
-    if not x or not y:
-        return base, head
-    if len(x) * len(y) > MAX_PAIRS:
-        j = 0
-        for i, p in enumerate(x):
-            k = next((k for k in range(j, min(len(y), j + 50)) if y[k][:2] == p[:2]), None)
-            if k is not None:
-                w, nested = tree_match(p, y[k])
-                head.append((i + shift, k + shift, nested))
-                base, j = base + w, k + 1
-        return base, head
-    size = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    sub: dict[tuple[int, int], tuple[int, list]] = {}
-    known: dict[tuple, tuple[int, list]] = {}
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            k = (p, q)
-            if k not in known:
-                known[k] = tree_match(p, q)
-            w = known[k][0]
-            best = max(size[i][j + 1], size[i + 1][j])
-            if w and size[i][j] + w > best:
-                best = size[i][j] + w
-            sub[i, j] = known[k]
-            size[i + 1][j + 1] = best
-    pairs, i, j = [], len(x), len(y)
+class Shapes:
+    """Numbers of block-tree shapes: equal subtrees (tags, class words and children) share one."""
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.children: list[tuple[int, ...]] = []
+        self.label: list[tuple] = []
+        self.size: list[int] = []
+
+    def of(self, root: Node) -> int:
+        done: dict[int, int] = {}
+        order, todo = [], [root]
+        while todo:
+            x = todo.pop()
+            order.append(x)
+            todo.extend(x.blocks())
+        for x in reversed(order):  # children before parents
+            label, children = (x.tag, x.words), tuple(done[id(c)] for c in x.blocks())
+            key = (label, children)
+            if key not in self.number:
+                self.number[key] = len(self.label)
+                self.label.append(label)
+                self.children.append(children)
+                self.size.append(1 + sum(self.size[c] for c in children))
+            done[id(x)] = self.number[key]
+        return done[id(root)]
+
+
+def align_rows(weight: np.ndarray, ix: np.ndarray, iy: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (i, j), rising in both, of the largest total ``weight[ix[i], iy[j]]``; of pairs above 0.
+
+    Rows of the table are array operations; a table beyond TABLE_CELLS is solved by halves.
+    """
+    m, n = len(ix), len(iy)
+    if not m or not n:
+        return []
+
+    def last_row(ix, iy):
+        row = np.zeros(len(iy) + 1, np.int64)
+        for i in ix:
+            best = np.maximum(row[1:], row[:-1] + weight[i, iy])
+            row[1:] = np.maximum.accumulate(best)
+        return row
+
+    if m > 1 and m * n > TABLE_CELLS:
+        half = m // 2
+        k = int(np.argmax(last_row(ix[:half], iy) + last_row(ix[half:][::-1], iy[::-1])[::-1]))
+        return align_rows(weight, ix[:half], iy[:k]) + [(i + half, j + k) for i, j in align_rows(weight, ix[half:], iy[k:])]
+    table = np.zeros((m + 1, n + 1), np.int64)
+    for i in range(m):
+        best = np.maximum(table[i, 1:], table[i, :-1] + weight[ix[i], iy])
+        table[i + 1, 1:] = np.maximum.accumulate(best)
+    pairs, i, j = [], m, n
     while i and j:
-        w, nested = sub[i - 1, j - 1]
-        if size[i][j] == size[i - 1][j]:
+        if table[i, j] == table[i - 1, j]:
             i -= 1
-        elif size[i][j] == size[i][j - 1]:
+        elif table[i, j] == table[i, j - 1]:
             j -= 1
         else:
-            pairs.append((i - 1 + shift, j - 1 + shift, nested))
             i, j = i - 1, j - 1
-    return base + size[-1][-1], head + pairs[::-1]
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
+class Matcher:
+    """Simple tree matching of shapes: the largest order-keeping top-down match."""
+
+    def __init__(self, shapes: Shapes):
+        self.shapes = shapes
+        self.known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def _sides(self, a: int, b: int) -> tuple[int, int, tuple, tuple]:
+        """Numbers of equal first and last children, which match best with each other, and what lies between."""
+        x, y = self.shapes.children[a], self.shapes.children[b]
+        most, head = min(len(x), len(y)), 0
+        while head < most and x[head] == y[head]:
+            head += 1
+        tail = 0
+        while tail < most - head and x[-1 - tail] == y[-1 - tail]:
+            tail += 1
+        return head, tail, x[head : len(x) - tail], y[head : len(y) - tail]
+
+    def match(self, a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
+        """Size of the match, and the pairs of matched children of the roots."""
+        s, todo = self.shapes, [(a, b)]
+        while todo:
+            p, q = todo[-1]
+            if (p, q) in self.known:
+                todo.pop()
+                continue
+            if p == q or s.label[p] != s.label[q]:
+                every = range(len(s.children[p]))
+                self.known[p, q] = (s.size[p], list(zip(every, every, strict=True))) if p == q else (0, [])
+                continue
+            head, tail, x, y = self._sides(p, q)
+            ux, uy = sorted(set(x)), sorted(set(y))
+            missing = [(i, j) for i in ux for j in uy if (i, j) not in self.known]
+            if missing:
+                todo += missing
+                continue
+            pairs = [(i, i) for i in range(head)]
+            total = 1 + sum(s.size[c] for c in s.children[p][:head])
+            if x and y:
+                weight = np.array([[self.known[i, j][0] for j in uy] for i in ux], np.int64)
+                px, py = {c: k for k, c in enumerate(ux)}, {c: k for k, c in enumerate(uy)}
+                ix, iy = np.array([px[c] for c in x]), np.array([py[c] for c in y])
+                found = align_rows(weight, ix, iy)
+                total += sum(int(weight[ix[i], iy[j]]) for i, j in found)
+                pairs += [(i + head, j + head) for i, j in found]
+            for k in range(tail, 0, -1):
+                pairs.append((len(s.children[p]) - k, len(s.children[q]) - k))
+                total += s.size[s.children[p][-k]]
+            self.known[p, q] = (total, pairs)
+        return self.known[a, b]
 
 
 class Aligner:
     """Numbers of pivot nodes for a page's nodes; repeated tree shapes are matched once."""
 
     def __init__(self):
+        self._forget()
+
+    def _forget(self):
+        self.matcher = Matcher(Shapes())
         self.pivots: OrderedDict[str, tuple] = OrderedDict()
         self.kept: OrderedDict[tuple, dict[int, int]] = OrderedDict()
 
@@ -285,25 +394,26 @@ class Aligner:
             if len(self.pivots) > 500:
                 self.pivots.popitem(last=False)
             tree = parse(html)
-            self.pivots[key] = (key, tree, skeleton(tree))
+            self.pivots[key] = (key, tree, self.matcher.shapes.of(tree))
         return self.pivots[key]
 
     def align(self, tree: Node, pivot_html: str) -> dict[int, int]:
+        if max(len(self.matcher.known), len(self.matcher.shapes.label)) > KEPT_SHAPES:
+            self._forget()
         key, other, shape = self.pivot(pivot_html)
-        own = skeleton(tree)
+        own = self.matcher.shapes.of(tree)
         at = (key, own)
         if at in self.kept:
             self.kept.move_to_end(at)
             return self.kept[at]
-        out = {0: 0}
-
-        def walk(a: Node, b: Node, pairs):
+        out, shapes = {0: 0}, self.matcher.shapes
+        todo = [(tree, other, own, shape)]
+        while todo:
+            a, b, sa, sb = todo.pop()
             x, y = a.blocks(), b.blocks()
-            for i, j, nested in pairs:
+            for i, j in self.matcher.match(sa, sb)[1]:
                 out[x[i].number] = y[j].number
-                walk(x[i], y[j], nested)
-
-        walk(tree, other, tree_match(own, shape)[1])
+                todo.append((x[i], y[j], shapes.children[sa][i], shapes.children[sb][j]))
         if len(self.kept) > KEPT_ALIGNMENTS:
             self.kept.popitem(last=False)
         self.kept[at] = out
@@ -312,12 +422,15 @@ class Aligner:
 
 def _size(node: Node, inside: bool, without: frozenset | set = frozenset()) -> int:
     """Characters of the node that the markup doesn't leave out, without those of some nodes' own."""
-    total = 0
-    for x in node.items:
-        if isinstance(x, Node):
-            total += 0 if x.dropped(inside) else _size(x, inside, without)
-        elif node.number not in without:
-            total += len(x[0])
+    total, todo = 0, [node]
+    while todo:
+        y = todo.pop()
+        for x in y.items:
+            if isinstance(x, Node):
+                if not x.dropped(inside):
+                    todo.append(x)
+            elif y.number not in without:
+                total += len(x[0])
     return total
 
 
@@ -332,7 +445,7 @@ def containers(root: Node) -> tuple[list[Node], bool]:
         elif not x.dropped(False):
             todo.extend(reversed(x.blocks()))
     sizes = [_size(x, True) for x in found]
-    tops = [x for x, n in zip(found, sizes, strict=True) if n and not (x.tag == "article" and x.marked)]
+    tops = [x for x, n in zip(found, sizes, strict=True) if n and not (x.tag == "article" and x.marked == WHOLE)]
     if not tops and any(sizes):
         tops = [found[sizes.index(max(sizes))]]
     return tops, any(x.tag == "main" or x.role == "main" for x in tops)
@@ -360,17 +473,19 @@ def extract(root: Node, template: set[int], alignment: dict[int, int], sure: fro
                     against += len(x[0]) if y.number in repeated else x[1]
         return against > LINK_SHARE * total
 
-    def walk(node: Node, inside: bool):
-        inside = inside or node.number in mine
-        taken = node.number not in (constants if inside else repeated) and (inside or not tops or (not main and alignment.get(node.number, -1) in varying))
-        for x in node.items:
-            if isinstance(x, Node):
-                if x.number in mine or not (x.dropped(inside) or (inside and x.hinted() and confirmed(x))):
-                    walk(x, inside)
-            elif taken and (inside or x[1] <= LINK_SHARE * len(x[0])):
+    alone = not template and not varying  # no wrapper to confirm a hint, outside the main containers
+    todo: list[tuple] = [(root, False, False)]
+    while todo:
+        x, inside, taken = todo.pop()
+        if not isinstance(x, Node):
+            if taken and (inside or x[1] <= LINK_SHARE * len(x[0])):
                 out.append(x[0])
-
-    walk(root, False)
+            continue
+        if x.number not in mine and (x.dropped(inside) or (x.hinted() and ((alone and not inside) or confirmed(x)))):
+            continue
+        inside = inside or x.number in mine
+        taken = x.number not in (constants if inside else repeated) and (inside or not tops or (not main and alignment.get(x.number, -1) in varying))
+        todo.extend((y, inside, taken) for y in reversed(x.items))
     return "\n\n".join(out)
 
 
@@ -379,9 +494,13 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host.alias("host"))
 
 
-def _sized(df: DataFrame, text: str) -> DataFrame:
-    total = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + 64 * F.count("*")).first()[0]
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+def meet(pages: DataFrame, by_host: DataFrame, how: str = "inner") -> DataFrame:
+    """Pages with their host's row: broadcast while that is small, else joined by host and part, so that a hot host is split."""
+    total = by_host.agg(F.coalesce(F.sum(F.octet_length("pivot")), F.lit(0)) + 64 * F.count("*")).first()[0]
+    if total <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(by_host), "host", how)
+    parts = by_host.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return pages.withColumn("_part", F.pmod(F.xxhash64("url", "html"), F.lit(PARTS)).cast("int")).join(parts, ["host", "_part"], how).drop("_part")
 
 
 def induce(pages: DataFrame) -> DataFrame:
@@ -408,7 +527,7 @@ def induce(pages: DataFrame) -> DataFrame:
                         mains.append(main)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(texts, pa.int64()), pa.array(mains, pa.int64())], ["host", "node", "text", "main"])
 
-    distinct = pages.where("html is not null").join(_sized(pivots, "pivot"), "host").select("host", "html", "pivot")
+    distinct = small_batches(meet(pages.where("html is not null"), pivots).select("host", "html", "pivot"))
     seen = distinct.mapInArrow(observe, "host string, node int, text long, main long").distinct().groupBy("host", "node", "text").agg(F.count("*").alias("c"))
     seen = seen.groupBy("host", "node").agg(F.sum("c").alias("pages"), F.max("c").alias("same"))
     seen = seen.where(F.col("pages") >= MIN_PAGES).withColumn("fixed", F.col("same") >= SAME_SHARE * F.col("pages"))
@@ -439,4 +558,5 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append(extract(tree, set(template or ()), al.align(tree, pivot) if pivot else {}, set(sure or ()), set(varying or ())))
             yield pa.RecordBatch.from_arrays([pick(batch, "page_id").cast(pa.int64()), pick(batch, "url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.join(_sized(wrappers, "pivot"), "host", "left").select("page_id", "url", "html", "pivot", "template", "sure", "varying").mapInArrow(run, RESULT)
+    met = meet(pages, wrappers, "left").select("page_id", "url", "html", "pivot", "template", "sure", "varying")
+    return small_batches(met).mapInArrow(run, RESULT)
