@@ -7,7 +7,7 @@ states, and a logistic output scores the window. Every text is scored whole, by
 overlapping windows; its score is that of the highest one, calibrated on held-back rows.
 
 Training takes a bounded sample of labelled rows (``MAX_POSITIVE`` and ``MAX_NEGATIVE``
-documents, those of the smallest id hash) from the training folds. Nothing but the text enters
+documents, those of the smallest id hash, and ``MAX_BYTES`` of text) from the training folds. Nothing but the text enters
 a score. Null and empty texts, and texts without letters, get the score of an empty window.
 Without labels of both kinds every score is the share of positives. Rows are scored one by
 one; repeated rows and null ids give a result each (a null id is in no label row); an empty
@@ -25,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.llm.textkit import LOWER, U64, blocks, hash_spans, mix, pick, run_spans, small_batches, utf8
+from geoweft.plans.lineage import cut
 
 #: Bounded training sample, and its share kept for calibration.
 MAX_POSITIVE, MAX_NEGATIVE, CALIBRATION = 1500, 2500, 0.2
+#: Bytes of the sample's texts, which the driver holds: of a larger sample those rows, in hash order, that fit.
+MAX_BYTES = 64 << 20
 WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, CHAR_BUCKETS, DIM, HIDDEN = 1 << 14, 1 << 12, 8, 8
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.01, 7
@@ -51,10 +54,10 @@ class Words:
         low = LOWER[data]
         inside = _LETTER[low]
         starts, ends = run_spans(inside)
-        cut = offsets[1:-1]  # a run never spans two texts
-        cut = np.unique(cut[(cut > 0) & (cut < len(low))])
-        cut = cut[inside[cut] & inside[cut - 1]]
-        starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
+        edge = offsets[1:-1]  # a run never spans two texts
+        edge = np.unique(edge[(edge > 0) & (edge < len(low))])
+        edge = edge[inside[edge] & inside[edge - 1]]
+        starts, ends = np.sort(np.concatenate((starts, edge))), np.sort(np.concatenate((ends, edge)))
         self.rows = np.searchsorted(offsets, starts, "right") - 1
         h = hash_spans(low, starts, ends)
         forms, first, self.form = np.unique(h, return_index=True, return_inverse=True)
@@ -301,8 +304,14 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.nda
     share = rows.agg(F.avg("toxic")).first()[0] or 0.0
     first = lambda t, n: rows.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = first(1, MAX_POSITIVE).unionByName(first(0, MAX_NEGATIVE))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # at most MAX_POSITIVE + MAX_NEGATIVE rows
-    got = sorted({(r.doc_id, r.text or "", r.toxic) for r in found.collect()})
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").distinct()  # at most MAX_POSITIVE + MAX_NEGATIVE ids
+    found = cut(found.withColumn("key", F.xxhash64("doc_id", "text", "toxic")))
+    sizes = found.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()
+    sizes.sort(key=lambda r: r.key)
+    total = np.cumsum([r.n for r in sizes]) if sizes else np.zeros(0)
+    use = [r.key for r, t in zip(sizes, total.tolist(), strict=True) if t <= MAX_BYTES]
+    rows = found.collect() if len(use) == len(sizes) else found.where(F.col("key").isin(use)).collect()
+    got = sorted((r.doc_id, r.text or "", r.toxic) for r in rows)
     return [g[1] for g in got], np.array([g[2] for g in got], np.int64), float(share)
 
 
@@ -330,15 +339,15 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     return small_batches(docs.select("doc_id", "text")).mapInArrow(run, RESULT)
 
 
-def drop_toxic(docs: DataFrame, net: Network, cut: float = CUT) -> DataFrame:
-    """The documents whose score is below ``cut``, with all their columns; no shuffle."""
+def drop_toxic(docs: DataFrame, net: Network, below: float = CUT) -> DataFrame:
+    """The documents whose score is under ``below``, with all their columns; no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
         net = model.value
         for batch in batches:
             data, offs = utf8(pick(batch, "text"))
-            keep = [net.scores(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) < cut for a, b in blocks(offs)]
+            keep = [net.scores(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) < below for a, b in blocks(offs)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
     return small_batches(docs).mapInArrow(run, docs.schema)
