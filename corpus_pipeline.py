@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. Quality rules also take failed lines out of the texts that stay.
+
+Null and empty texts are rejected by the quality rules. Rows without an id are judged by the first
+two stages, link to nothing, and are packed. Rows that share an id are one document to the near-duplicate stage, and stay
+or go together; rows with equal texts and different ids are copies, of which the smallest id
+stays. Without labels no text counts as toxic. An empty table stays empty through all stages.
+Very long texts are read whole. Further columns of documents, whatever their names, are carried
+through to the packing stage, which returns pieces.
 """
 
 from __future__ import annotations
