@@ -17,6 +17,7 @@ from geoweft.operators import lookup, spatial, stats, tiles
 from geoweft.plans.graph import Graph
 from geoweft.plans.lineage import shared_dir
 from geoweft.sources import mapping, sinks, sqlite, synthetic
+from geoweft.streaming import messages
 
 REGION0, NATION3, CUSTOMER7 = 1_000_000_000, 2_000_000_003, 3_000_000_007
 VIEWPORTS = {"full": (-1, -1, 1, 1), "mid": (-0.5, -0.5, 0.5, 0.5), "small": (-0.25, -0.25, 0.25, 0.25), "ll": (-1, -1, 0, 0), "ur": (0, 0, 1, 1)}
@@ -257,6 +258,11 @@ _add("blob_whole", f"SELECT {_DOC3} AS hash, hex(encode(text)) AS data FROM docu
 _add("hash_render", f"SELECT 8000000000 + doc_id AS entity_id, lower(printf('%x', {_HASH})) AS hash FROM documents")(lambda g: g.blobs.select("entity_id", S.hash_hex("hash").alias("hash")))
 
 
+# Answers decoded again: ids of a traversal's batches, and the edges of a request.
+_add("message_traverse", _bfs_sql(_START, 2, "true", _BATCHES.replace("AS batch", "AS seq")))(lambda g: messages.answer(g, 5, messages.encode(messages.Traverse(REGION0, 2))).where(F.col("seq") < messages.LAST).select(F.explode(F.from_json("message", "ids array<long>")["ids"]).alias("id"), F.col("seq").cast("int").alias("seq")))
+_add("message_edges", f"WITH {_EDGE} {_OUT.format(NATION3)}")(lambda g: messages.answer(g, 6, messages.encode(messages.GetEdges(NATION3))).where("seq is null").select(F.from_json("message", "id long, source long, target long, label int").alias("m")).select("m.*"))
+
+
 def _events(g: Graph) -> DataFrame:
     return g.spark.read.parquet(f"{g.sf_dir}/events.parquet")
 

@@ -308,3 +308,30 @@ def test_shared_folder(spark, tmp_path):
         lineage.shared_dir(Cluster)
     lineage.cut(spark.range(3)).count()
     assert lineage.sweep(spark, 3600) == [] or all(x.startswith(lineage.PREFIXES) for x in lineage.sweep(spark, 3600))
+
+
+def test_messages(spark, multi):
+    import json
+
+    from geoweft.schema import BadRequest
+    from geoweft.streaming import messages as M
+
+    g, edges = multi
+    data = bytes(range(200))
+    b = build(spark, [1, 2], [(1, 1, 2, 1)], [(1, 0.5, 0.5)], [(1, "a", 1, 5, None, None)], [(1, "k", 9, None, 200, data)])
+    requests = [M.GetEntity(1, True, True), M.GetEdges(1), M.Traverse(1, 1), M.SearchSpatial(0, 0, 1, 1), M.SearchProperty("a"), M.SearchProperty("a", 5), M.SearchProperty("a", low=1.0), M.GetBlob(9, 0, 150)]
+    want = [["entity"], ["edge"], ["batch"], ["entity"], ["entity"], ["entity"], ["entity"], ["chunk", "chunk"]]
+    for r, kinds in zip(requests, want, strict=True):
+        assert M.decode(M.encode(r)) == r
+        rows = M.answer(b, 3, M.encode(r)).orderBy("seq").collect()
+        got = [json.loads(x.message) for x in rows]
+        assert [x["kind"] for x in got] == [*kinds, "done"] and {x.query_id for x in rows} == {3}
+    ids = [i for x in M.answer(g, 4, M.encode(M.Traverse(0, 3))).orderBy("seq").collect() for i in json.loads(x.message).get("ids", [])]
+    assert ids == [i for i, _ in queue_bfs(known(edges), 0, 3, [])]
+    assert [json.loads(x.message)["kind"] for x in M.answer(b, 8, M.encode(M.GetEntity(77))).collect()] == ["error", "done"]
+    for bad in ("", "[]", "{}", '{"kind": "nope"}', '{"kind": "entity"}', '{"kind": "entity", "id": "x"}', '{"kind": "entity", "id": true}', '{"kind": "edges", "entity_id": 1, "labels": ["a"]}', '{"kind": "blob", "hash": 1, "more": 2}'):
+        rows = M.answer(b, 9, bad).collect()
+        assert len(rows) == 1 and rows[0].query_id == 0 and json.loads(rows[0].message)["message"].startswith("decode: ")
+        with pytest.raises(BadRequest):
+            M.decode(bad)
+    assert json.loads(M.hello(b).first().message)["entities"] == 2
