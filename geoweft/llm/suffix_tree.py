@@ -1,7 +1,7 @@
 """Language-model scores by a probabilistic suffix tree.
 
-Symbols are the bytes of a text's lower-cased words, a space after each, and an end symbol. All contexts of up to ``DEPTH`` symbols are counted over all training texts. A context enters
-the tree if it occurs at least ``MIN_COUNT`` times and if its next-symbol distribution
+Symbols are the bytes of a text's lower-cased words, a space after each, and an end symbol. All
+contexts of up to ``DEPTH`` symbols are counted over all training texts. A context enters the tree if it occurs at least ``MIN_COUNT`` times and if its next-symbol distribution
 gains at least ``GAIN`` nats over that of its longest ancestor in the tree (a likelihood-ratio
 test of their divergence), so the tree grows with the corpus. Distributions are smoothed towards
 that ancestor. The levels of the tree are made one after the other, as tables joined by context.
@@ -11,10 +11,12 @@ table; both give the same scores. A token's probability
 is what the tree gives its symbols, mixed with a small part of the whole token's share of the
 corpus (1 - ``SPELLED``), which helps words too long for the tree's contexts.
 
-Both that share and the unigram base need every word's count. Words with a share of at least ``HEAD_SHARE`` (so at
-most 1 / HEAD_SHARE) are broadcast; occurrences of rarer words are joined with the counts by a
+Both that share and the unigram base need every word's count. Words with a share of at least
+``HEAD_SHARE`` (so at most 1 / HEAD_SHARE) are broadcast; occurrences of rarer words are joined with the counts by a
 shuffle, which no rare word can skew. Null and empty texts are the end symbol alone. Rows are
-scored one by one: repeated rows and null ids (which are training rows) give a result each.
+scored one by one: repeated rows and null ids (which are training rows) give a result each; an
+empty table gives no rows, and without training rows all words are unknown. A very long text is
+spelled whole, in segments. Columns other than id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
