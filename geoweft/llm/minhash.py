@@ -293,7 +293,7 @@ def components(links: DataFrame) -> DataFrame:
     """(id, root) of every node of the links (a, b): root is the smallest id that it reaches.
 
     Alternates large-star and small-star until every edge is child to root; each round is a
-    few joins on combined minima, and its result is written to the shared folder.
+    few joins on combined minima, and its results are written to the shared folder.
     """
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
@@ -305,8 +305,9 @@ def components(links: DataFrame) -> DataFrame:
 
     while not stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # written, so that the join's sides come straight from a scan or a shuffle and Spark can split a hub
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
+        large = both.where("v > u").join(broadcast_if_small(low, 16, KEYS_BYTES), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
