@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweft.llm.textkit import LOWER, U64, blocks, hash_spans, per_row, pick, utf8, word_spans
+from geoweft.llm.textkit import LOWER, U64, blocks, hash_spans, per_row, pick, small_batches, utf8, word_spans
 from geoweft.plans.lineage import cut
 
 DEPTH = 5
@@ -163,7 +163,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             yield emit(kind, c.take())
         yield emit(TEXTS, (np.zeros(1, U64), np.array([texts])))
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "kind int, key long, count long")
+    found = small_batches(docs.select("doc_id", "text")).mapInArrow(run, "kind int, key long, count long")
     return found.groupBy("kind", "key").agg(F.sum("count").alias("count"))
 
 
@@ -409,7 +409,7 @@ def score(docs: DataFrame) -> DataFrame:
         logs[:-1][seq.own(every)] = np.log10(found.column("p").to_numpy())[order][at].astype(np.float32)
         return pa.Table.from_batches(list(scores(seq, texts.column("key").to_numpy(), texts.column("doc_id").combine_chunks(), *seq.sums(logs))))
 
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs.select("doc_id", "text"))
     if tree is not None:
         scored = cut(docs.mapInArrow(run, SCORED))
     else:  # each block meets the probabilities of its grams
