@@ -42,12 +42,14 @@ def suite(g, starts: list[int]) -> dict[str, Callable[[], DataFrame]]:
 
 
 def batches(g, n: int) -> dict[str, Callable[[], DataFrame]]:
-    """The same requests, ``n`` at a time: one job answers them all."""
-    ids = g.entities.orderBy(F.xxhash64("id")).limit(n)
+    """The same requests, ``n`` at a time: one job answers them all. The requests are there before."""
+    ids = g.entities.orderBy(F.xxhash64("id")).limit(n).persist()
     req = ids.select(F.col("id").alias("request_id"), F.col("id").alias("start_id"))
     rect = g.positions.orderBy(F.xxhash64("entity_id")).limit(n).select(
         F.col("entity_id").alias("request_id"), (F.col("x") - 0.02).alias("min_x"), (F.col("y") - 0.02).alias("min_y"), (F.col("x") + 0.02).alias("max_x"), (F.col("y") + 0.02).alias("max_y")
-    )
+    ).persist()
+    drain(ids)
+    drain(rect)
     return {
         f"batch_entity_get_{n}": lambda: g.get_entities(ids, True, True),
         f"batch_bfs_depth2_{n}": lambda: g.traverse_batch(req, 2),
