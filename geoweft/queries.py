@@ -279,12 +279,12 @@ _add("latency_by_scale", _round_sql(f"SELECT scale, label AS op_key, avg(mean_ns
 
 
 def _sqlite(g: Graph) -> Graph:
-    """The whole graph written to one file in the shared folder, and read from there."""
+    """The whole graph written to files of a folder in the shared one, by all executors, and read from there."""
     place = urlparse(shared_dir(g.spark))
     if place.scheme not in ("", "file"):
-        raise ValueError(f"a SQLite file needs a mounted folder, not {place.scheme}")
-    path = f"{place.path}/cut-{uuid.uuid4().hex}.db"
-    sqlite.write_file(g, path)
+        raise ValueError(f"SQLite files need a mounted folder, not {place.scheme}")
+    path = f"{place.path}/cut-{uuid.uuid4().hex}"
+    sqlite.write_files(g, path)
     return Graph.from_sqlite(g.spark, path)
 
 

@@ -184,6 +184,35 @@ def test_sqlite_round_trip(spark, tmp_path):
     assert Graph.from_parquet(spark, f"{tmp_path}/p").stats().first() == g.stats().first()
 
 
+def test_sqlite_folder(spark, monkeypatch, tmp_path):
+    """Many files, rows split inside a file, repeated ids, an empty table; nothing is gathered."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from geoweft import queries
+
+    def gathered(*_, **__):
+        raise AssertionError("rows pass the driver")
+
+    edges = [(i % 400, i % 7, i % 5, i % 3) for i in range(1000)]
+    g = build(spark, range(7), edges, [(1, 0.5, None), (2, 0.1, 0.25), (2, 0.1, 0.25)], [(1, "k", 2, None, 0.1, None), (1, None, 3, None, None, "\u00e4\0v")], [(1, "b", 5, None, 3, b"h\0i")])
+    g.raw_edges = g.raw_edges.repartition(3)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", gathered)
+    monkeypatch.setattr(DataFrame, "collect", gathered)
+    h = queries._sqlite(g)
+    monkeypatch.undo()
+    for name in ("entities", "raw_edges", "positions", "properties", "blobs"):
+        rows = lambda x, n=name: sorted(map(repr, getattr(x, n).collect()))
+        assert rows(h) == rows(g) and rows(g), name
+    sqlite.write_files(build(spark, [1], []), f"{tmp_path}/e")
+    assert Graph.from_sqlite(spark, f"{tmp_path}/e").edges.count() == 0
+
+    sqlite.write_files(g, f"{tmp_path}/g")
+    monkeypatch.setattr(sqlite, "SPLIT_ROWS", 100)
+    reader = sqlite._Reader({"path": f"{tmp_path}/g", "table": "edge"}, TABLES["edge"])
+    got = [tuple(r.values()) for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+    assert len(reader.partitions()) >= 10 and sorted(got) == sorted(edges)
+
+
 def test_synthetic_and_sinks(spark, tmp_path):
     g = synthetic.graph(spark, "1K")
     e = g.edges.collect()
