@@ -9,7 +9,8 @@ Steps, none of which gathers a group of copies or emits its pairs:
 1. Documents with equal shingle sets are one class (its smallest id stands for it).
 2. In each band bucket every class is compared with two leaders, so a bucket of k near copies
    gives at most 2k candidates. A 128-bit sketch of the signature drops hopeless ones.
-3. Confirmed links are contracted to components by alternating large-star and small-star.
+3. Confirmed links are contracted to components: up to TASK_LINKS by one task, more by alternating
+   large-star and small-star.
    Buckets that still span several components meet further leaders of their main component.
 4. Exact remainder: wherever a bucket still spans several components, the classes outside the
    bucket's main component are compared with all members of other components; a large bucket is
@@ -48,6 +49,8 @@ SKETCH_SIGMAS = 6.0
 PART_ROWS = 1000
 #: Rows about buckets are broadcast up to this size; beyond it they are joined by key and part.
 KEYS_BYTES = 4 << 20
+#: Up to so many links (4 MB) one task contracts; more go by star contraction.
+TASK_LINKS = 1 << 18
 #: Rounds of comparing open buckets with leaders before the exact remainder.
 LEADER_ROUNDS = 3
 #: A further round follows only if one in this many candidates of the last was a link.
@@ -289,13 +292,39 @@ def compare_blocks(texts: DataFrame, grouped: DataFrame, k: int, percent: int) -
     return with_text.groupBy("group", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def _contracted(batches):
+    """(id, root) of some links (u, v) by union and find."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for u, v in zip(pick(batch, "u").to_pylist(), pick(batch, "v").to_pylist(), strict=True):
+            u, v = top(u), top(v)
+            up[max(u, v)] = min(u, v)
+    found = [(x, r) for x in up if (r := top(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["id", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) of every node of the links (a, b): root is the smallest id that it reaches.
+    """(id, root) of every node of the links (a, b) but the roots: root is the smallest id that it reaches.
+
+    Few links are a bounded job for one task; for others ``star_contraction`` has no such bound.
+    """
+    e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    return cut(e.coalesce(1).mapInArrow(_contracted, "id long, root long")) if e.count() <= TASK_LINKS else star_contraction(e)
+
+
+def star_contraction(e: DataFrame) -> DataFrame:
+    """(id, root) of every node of the links (u, v), u > v, but the roots.
 
     Alternates large-star and small-star until every edge is child to root; each round is a
     few joins on combined minima, and its results are written to the shared folder.
     """
-    e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e = cut(e.distinct())
 
     def stars(e: DataFrame) -> bool:
         """No node has two parents, or a parent and a child: one shuffle in place of a last round."""

@@ -244,6 +244,24 @@ def test_near_duplicates(spark, odd, none, k, percent, monkeypatch):
         assert minhash.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_components(spark, monkeypatch):
+    """One task and the star contraction against union and find; a chain takes no rounds in one task."""
+    r = random.Random(4)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7), (2000, 2001), (2000, 2001)]
+    up = {x: x for p in pairs for x in p}
+    for _ in up:
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    want = sorted((x, y) for x, y in up.items() if x != y)
+    links, written = spark.createDataFrame(pairs, "a long, b long"), []
+    cut = minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df: written.append(1) or cut(df))
+    assert sorted(map(tuple, minhash.components(links).collect())) == want and len(written) == 2
+    assert minhash.components(links.where("a = b")).count() == 0
+    monkeypatch.setattr(minhash, "TASK_LINKS", 50)
+    assert sorted(map(tuple, minhash.components(links).collect())) == want
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Rows of one id with different texts are one document: the text of the smallest digest, whatever the order."""
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
