@@ -6,9 +6,9 @@ shard then covers a compact box of all dimensions, and filters on any of them sk
 
 No row is gathered: cells (at most 2**(bits * dims)) are counted, each cell is split by a hash
 of the row into sub-cells, and a row's rank is the start of its sub-cell plus its place there.
-A dimension is cut at quantiles in its own order: numbers, dates and times by a quantile sketch
-over all rows; texts, as whole values in byte order, at the quantiles of about ``SAMPLED`` rows
-picked by hash. The cuts only shape the boxes: shards and slots are exact whatever they are.
+A dimension is cut at quantiles of all rows in its own order: numbers, dates and times by a quantile
+sketch; texts, as whole values in byte order, exactly: distinct values are counted, range-partitioned
+and summed up. The cuts only shape the boxes: shards and slots are exact whatever they are.
 
 Null dimensions lie with the smallest values; null and empty texts have size 1, very long texts
 are never read (only their size and checksum are); null ids and repeated rows keep a rank each; ties
@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoweft.plans.lineage import cut
+
 #: Rows of a sub-cell, about, if all rows lay in one cell; and the least number of sub-cells.
 SUB_ROWS, LEAST_SUBS = 1 << 19, 64
-#: Rows whose texts give a text dimension's cuts, about.
-SAMPLED = 20_000
 
 
 def ordered(df: DataFrame, name: str) -> tuple[Column, bool]:
@@ -50,6 +50,24 @@ def ordered(df: DataFrame, name: str) -> tuple[Column, bool]:
     return c.cast("double") if isinstance(kind, T.NumericType) else F.xxhash64(c).cast("double"), False
 
 
+def text_cuts(rows: DataFrame, c: str, total: int, levels: int) -> list[tuple]:
+    """The values of a text column that hold the quantiles i / levels of all rows (nulls first), each with their number."""
+    counts = rows.groupBy(c).agg(F.count("*").alias("_n"))
+    # written, so that a value's part stays the same; each value is one row, so no part is hot
+    counts = cut(counts.repartitionByRange(F.col(c).asc_nulls_first()).withColumn("_part", F.spark_partition_id()))
+    parts, starts = counts.groupBy("_part").agg(F.sum("_n").alias("_n")).orderBy("_part").collect(), []  # a row for each part
+    for i, r in enumerate(parts):
+        starts.append((r["_part"], sum(x["_n"] for x in parts[:i])))
+    if not starts:
+        return []
+    start = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _start long"))
+    run = F.sum("_n").over(Window.partitionBy("_part").orderBy(F.col(c).asc_nulls_first())) + F.col("_start")
+    ends = counts.join(start, "_part").withColumn("_end", run)
+    steps = F.expr(f"least({levels - 1}, (_end * {levels}) div {total}) - ((_end - _n) * {levels}) div {total}")
+    found = ends.withColumn("_steps", steps.cast("int")).where(F.col(c).isNotNull() & (F.col("_steps") > 0)).select(c, "_steps").collect()  # levels - 1 at most
+    return sorted(((r[c], r["_steps"]) for r in found), key=lambda x: x[0].encode())
+
+
 def cut_points(rows: DataFrame, texts: list[str], numbers: list[str], levels: int) -> tuple[int, dict[str, list[tuple]]]:
     """Number of rows, and for each dimension the values at its quantiles, each with the number of quantiles there.
 
@@ -58,17 +76,8 @@ def cut_points(rows: DataFrame, texts: list[str], numbers: list[str], levels: in
     shares = [i / levels for i in range(1, levels)]
     stat = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(c, shares, 2000).alias(c) for c in numbers]).first()
     cuts = {c: sorted(Counter(stat[c] or []).items()) for c in numbers}
-    every = max(1, stat["n"] // SAMPLED)
     for c in texts:
-        found = rows.where(F.pmod(F.xxhash64("_key", *numbers, *texts), F.lit(every)) == 0).groupBy(c).count().collect()  # about SAMPLED values at most
-        values = sorted((r for r in found if r[c] is not None), key=lambda r: r[c].encode())
-        total, run, ends = sum(r["count"] for r in found), sum(r["count"] for r in found if r[c] is None), []
-        for r in values:
-            steps = sum(run < s * total <= run + r["count"] for s in shares)
-            if steps:
-                ends.append((r[c], steps))
-            run += r["count"]
-        cuts[c] = ends
+        cuts[c] = text_cuts(rows, c, stat["n"], levels)
     return stat["n"], cuts
 
 

@@ -214,6 +214,17 @@ def brute_links(docs, k, percent):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
+def test_text_cuts_come_from_all_rows(spark):
+    """Against sorting all values: many distinct texts, nulls, a frequent one."""
+    r = random.Random(8)
+    texts = [None] * 3000 + ["m\u00e4"] * 9000 + [f"{r.choice('az\u00e9\U0001f600')}{r.randrange(10**6)}" for _ in range(38_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "_key long, t string")
+    order = sorted((b"" if t is None else b"\1" + t.encode()) for t in texts)
+    at = [order[-(-i * len(order) // 16) - 1] for i in range(1, 16)]
+    want = [(x[1:].decode(), at.count(x)) for x in sorted(set(at)) if x]
+    assert sharding.cut_points(df, ["t"], [], 16) == (len(texts), {"t": want})
+
+
 @pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
 def test_near_duplicates(spark, odd, none, k, percent, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", 6)
