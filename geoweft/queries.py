@@ -16,6 +16,7 @@ from geoweft.operators import edges as E
 from geoweft.operators import lookup, spatial, stats, tiles
 from geoweft.plans.graph import Graph
 from geoweft.plans.lineage import shared_dir
+from geoweft.schema import TABLES
 from geoweft.sources import mapping, sinks, sqlite, synthetic
 from geoweft.streaming import messages
 
@@ -278,19 +279,19 @@ _BYSCALE = ["scale", *_OPS]
 _add("latency_by_scale", _round_sql(f"SELECT scale, label AS op_key, avg(mean_ns) AS mean_ns, avg(p95_ns) AS p95_ns, avg(p99_ns) AS p99_ns, count(*) AS sample_count FROM ({_SCALE}) GROUP BY 1, 2", _OPS[1:4], _BYSCALE))(lambda g: _rounded(stats.by_operation(stats.latency_stats(_events(g).select((F.col("user_id") % 3).alias("scale"), F.col("event_type").alias("label"), F.col("value").alias("ns")), ["scale", "label"]), ("scale",)), _OPS[1:4]))
 
 
-def _sqlite(g: Graph) -> Graph:
-    """The whole graph written to files of a folder in the shared one, by all executors, and read from there."""
+def _sqlite(g: Graph, *tables: str) -> Graph:
+    """The whole graph, or the tables that a result is made of, written to files of a folder in the shared one, by all executors, and read from there."""
     place = urlparse(shared_dir(g.spark))
     if place.scheme not in ("", "file"):
         raise ValueError(f"SQLite files need a mounted folder, not {place.scheme}")
     path = f"{place.path}/cut-{uuid.uuid4().hex}"
-    sqlite.write_files(g, path)
+    sqlite.write_files(g, path, tables or tuple(TABLES))
     return Graph.from_sqlite(g.spark, path)
 
 
 _add("sqlite_edges", f"WITH {_EDGE} SELECT id, source, target, label FROM edge")(lambda g: _sqlite(g).edges)
 _add("sqlite_properties", f"WITH {_PROP} SELECT entity_id, key, value_type, value_int, value_float, value_text FROM prop")(lambda g: _sqlite(g).properties)
-_add("sqlite_positions", f"WITH {_POS} SELECT entity_id, x, y FROM pos")(lambda g: _sqlite(g).positions)
+_add("sqlite_positions", f"WITH {_POS} SELECT entity_id, x, y FROM pos")(lambda g: _sqlite(g, "entity", "position").positions)
 
 
 def _csv(g: Graph) -> tuple[DataFrame, DataFrame]:

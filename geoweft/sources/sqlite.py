@@ -154,27 +154,27 @@ def read_table(spark: SparkSession, path: str, table: str, splits: int = 8) -> D
     return spark.read.format("sqlite_graph").option("path", path).option("table", table).option("splits", splits).load()
 
 
-def _frames(graph) -> dict[str, DataFrame]:
-    frames = {"entity": graph.entities, "edge": graph.raw_edges, "position": graph.positions, "property": graph.properties, "blob": graph.blobs}
-    return {name: df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name].fields]) for name, df in frames.items()}
+def _frame(graph, name: str) -> DataFrame:
+    df = getattr(graph, {"entity": "entities", "edge": "raw_edges", "position": "positions", "property": "properties", "blob": "blobs"}[name])
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name].fields])
 
 
-def write_files(graph, path: str) -> None:
-    """Export a graph of any size to a folder that all hosts see: each task writes a file of its own."""
+def write_files(graph, path: str, tables=tuple(TABLES)) -> None:
+    """Export a graph of any size, or some of its tables, to a folder that all hosts see: each task writes a file of its own."""
     graph.spark.dataSource.register(SqliteGraphSource)
     os.makedirs(path)
-    for name, df in _frames(graph).items():
-        df.write.format("sqlite_graph").mode("append").option("path", path).option("table", name).save()
+    for name in tables:
+        _frame(graph, name).write.format("sqlite_graph").mode("append").option("path", path).option("table", name).save()
 
 
 def write_file(graph, path: str, batch: int = 10_000) -> None:
     """Export a small graph to one file. The rows stream through the driver, batch by batch."""
     db = sqlite3.connect(path)
-    for name, df in _frames(graph).items():
+    for name in TABLES:
         table, cols = SQL_TABLES[name]
         db.execute(f"CREATE TABLE {table} ({DDL[name]})")
         insert, rows = f"INSERT INTO {table} ({', '.join(cols)}) VALUES ({', '.join('?' * len(cols))})", []
-        for r in df.toLocalIterator():
+        for r in _frame(graph, name).toLocalIterator():
             rows.append(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r))
             if len(rows) == batch:
                 db.executemany(insert, rows)
