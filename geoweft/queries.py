@@ -290,7 +290,7 @@ def _sqlite(g: Graph, *tables: str) -> Graph:
 
 
 _add("sqlite_edges", f"WITH {_EDGE} SELECT id, source, target, label FROM edge")(lambda g: _sqlite(g).edges)
-_add("sqlite_properties", f"WITH {_PROP} SELECT entity_id, key, value_type, value_int, value_float, value_text FROM prop")(lambda g: _sqlite(g).properties)
+_add("sqlite_properties", f"WITH {_PROP} SELECT entity_id, key, value_type, value_int, value_float, value_text FROM prop")(lambda g: _sqlite(g, "property").properties)
 _add("sqlite_positions", f"WITH {_POS} SELECT entity_id, x, y FROM pos")(lambda g: _sqlite(g, "entity", "position").positions)
 
 

@@ -38,7 +38,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize(("name", "others"), [("sqlite_positions", ["lineitem", "labels"])])
+@pytest.mark.parametrize(("name", "others"), [("sqlite_positions", ["lineitem", "labels"]), ("sqlite_properties", ["lineitem", "nation", "region", "supplier"])])
 def test_sqlite_query_needs_no_other_table(spark, duck, tmp_path, name, others):
     """Tables that no row of the result comes from are neither read nor written, nor can they make the query fail."""
     for t in set(TABLES) - set(others):
